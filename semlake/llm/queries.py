@@ -1,11 +1,13 @@
 """The queries opN_<name> and the DuckDB SQL of those that SQL can express."""
 
-from semlake.llm import lines
+from semlake.llm import decontaminate, lines
 
 QUERIES = {
     "op4_line_dedup": lines.op4_line_dedup,
+    "op9_decontamination": decontaminate.op9_decontamination,
 }
 
 ORACLES = {
     "op4_line_dedup": lines.OP4_SQL,
+    "op9_decontamination": decontaminate.OP9_SQL,
 }
