@@ -1,13 +1,15 @@
 """The queries opN_<name> and the DuckDB SQL of those that SQL can express."""
 
-from semlake.llm import decontaminate, lines
+from semlake.llm import chat, decontaminate, lines
 
 QUERIES = {
     "op4_line_dedup": lines.op4_line_dedup,
+    "op7_chat_format": chat.op7_chat_format,
     "op9_decontamination": decontaminate.op9_decontamination,
 }
 
 ORACLES = {
     "op4_line_dedup": lines.OP4_SQL,
+    "op7_chat_format": chat.OP7_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
 }
