@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Broadcast only tables whose measured size is at most this many bytes.
 BROADCAST_BYTES = 32 << 20
@@ -73,3 +78,47 @@ def digest128(c: Column) -> Column:
 
 def sha256_hex(c: Column) -> Column:
     return F.sha2(F.encode(c, "UTF-8"), 256)
+
+
+class Memory(dict):
+    """A bounded table of values that are made when they are first asked for."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
+_HELD: dict = {}
+
+
+def cached(make: Callable, *args):
+    """make(*args), once per Python worker."""
+    key = (make, args)
+    if key not in _HELD:
+        _HELD[key] = make(*args)
+    return _HELD[key]
+
+
+def map_batches(df: DataFrame, run: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, keep: bool = True) -> DataFrame:
+    """mapInArrow batch by batch; schema: of the new columns, or with keep=False of all.
+
+    Workers import this package: its parent folder goes into their PYTHONPATH, beside whatever
+    the cluster has set up (--py-files or an installed package)."""
+    root, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+    out = T._parse_datatype_string(schema)
+    if keep:
+        out = T.StructType([*df.schema.fields, *out.fields])
+
+    def each(batches):
+        for batch in batches:
+            yield from run(batch)
+
+    return df.mapInArrow(each, out)

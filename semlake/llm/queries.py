@@ -1,11 +1,12 @@
 """The queries opN_<name> and the DuckDB SQL of those that SQL can express."""
 
-from semlake.llm import chat, decontaminate, lines
+from semlake.llm import chat, decontaminate, lines, pieces
 
 QUERIES = {
     "op4_line_dedup": lines.op4_line_dedup,
     "op7_chat_format": chat.op7_chat_format,
     "op9_decontamination": decontaminate.op9_decontamination,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 
 ORACLES = {
