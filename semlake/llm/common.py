@@ -81,16 +81,20 @@ def sha256_hex(c: Column) -> Column:
 
 
 class Memory(dict):
-    """A bounded table of values that are made when they are first asked for."""
+    """A bounded table of values that are made when they are first asked for. Half of the bound is
+    filled, then put aside as the older half, from which entries in use come back."""
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most // 2, {}
 
     def __missing__(self, key):
+        if (value := self.older.get(key)) is None:
+            value = self.make(key)
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
@@ -105,14 +109,17 @@ def cached(make: Callable, *args):
     return _HELD[key]
 
 
-def map_batches(df: DataFrame, run: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, keep: bool = True) -> DataFrame:
-    """mapInArrow batch by batch; schema: of the new columns, or with keep=False of all.
-
-    Workers import this package: its parent folder goes into their PYTHONPATH, beside whatever
+def ship(spark: SparkSession) -> None:
+    """Workers import this package: its parent folder goes into their PYTHONPATH, beside whatever
     the cluster has set up (--py-files or an installed package)."""
-    root, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+
+
+def map_batches(df: DataFrame, run: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, keep: bool = True) -> DataFrame:
+    """mapInArrow batch by batch; schema: of the new columns, or with keep=False of all."""
+    ship(df.sparkSession)
     out = T._parse_datatype_string(schema)
     if keep:
         out = T.StructType([*df.schema.fields, *out.fields])

@@ -1,8 +1,9 @@
 """The queries opN_<name> and the DuckDB SQL of those that SQL can express."""
 
-from semlake.llm import chat, decontaminate, lines, pieces
+from semlake.llm import chat, decontaminate, idfile, lines, pieces
 
 QUERIES = {
+    "op3_token_ids": idfile.op3_token_ids,
     "op4_line_dedup": lines.op4_line_dedup,
     "op7_chat_format": chat.op7_chat_format,
     "op9_decontamination": decontaminate.op9_decontamination,
