@@ -47,13 +47,16 @@ class TrieCounter:
         kept = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         total = math.log(sum(1 / (rank + SHIFT) for rank in range(len(kept))))
         self.score = {sp.id_to_piece(i): -math.log(rank + SHIFT) - total for rank, i in enumerate(kept)}
-        self.longest = max(map(len, self.score))
+        #: The longest piece that ends in a character, by its last two characters.
+        self.reach: dict[str, int] = {}
+        for piece in self.score:
+            self.reach[piece[-2:]] = max(self.reach.get(piece[-2:], 1), len(piece))
         self.least = min(self.score.values())
         self.stored: dict[str, int] = {}
 
     def terminals(self, tokens: Iterable[str]) -> Iterator[tuple[str, int]]:
         """(pre-token, count) of distinct pre-tokens without their U+2581, by a walk of their trie."""
-        score, longest, least = self.score, self.longest, self.least
+        score, reach, least = self.score, self.reach, self.least
         best, count = [0.0], [0]  # forward scores of the prefixes on the path from the root
         path = ""
         for token in sorted(SPACE + t for t in tokens):
@@ -69,7 +72,7 @@ class TrieCounter:
                 else:
                     n_bytes = len(char.encode("utf-8"))
                     top, n = best[-1] + n_bytes * least, count[-1] + n_bytes
-                for start in range(max(0, end - longest), end - 1):
+                for start in range(max(0, end - reach.get(token[end - 2 : end], 1)), end - 1):
                     s = score.get(token[start:end])
                     if s is not None:
                         s += best[start]
