@@ -1,12 +1,13 @@
 """The queries opN_<name> and the DuckDB SQL of those that SQL can express."""
 
-from semlake.llm import chat, counts, decontaminate, idfile, lines, pieces, pii
+from semlake.llm import chat, counts, decontaminate, idfile, lines, pieces, pii, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op3_token_ids": idfile.op3_token_ids,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_token_counts": counts.op5_token_counts,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_chat_format": chat.op7_chat_format,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_sentencepiece": pieces.op10_sentencepiece,
