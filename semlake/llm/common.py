@@ -109,12 +109,28 @@ def cached(make: Callable, *args):
     return _HELD[key]
 
 
+ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20
+
+
+def _bytes(value: str) -> int:
+    """Bytes of a Spark size such as 64MB; no limit (or none that can be read) is very many."""
+    units = {"": 1, "b": 1, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30}
+    digits = value.rstrip("bBkKmMgG")
+    unit = value[len(digits) :].lower()
+    if not digits.isdigit() or int(digits) <= 0 or unit not in units:
+        return 1 << 62
+    return int(digits) << (0 if units[unit] == 1 else units[unit])
+
+
 def ship(spark: SparkSession) -> None:
     """Workers import this package: its parent folder goes into their PYTHONPATH, beside whatever
     the cluster has set up (--py-files or an installed package)."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+    # Rows of long texts: an Arrow batch is cut by bytes too, not only by its 10,000 rows.
+    if _bytes(spark.conf.get(ARROW_BYTES)) > BATCH_BYTES:
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
 
 
 def map_batches(df: DataFrame, run: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, keep: bool = True) -> DataFrame:

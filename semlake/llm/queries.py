@@ -1,9 +1,10 @@
 """The queries opN_<name> and the DuckDB SQL of those that SQL can express."""
 
-from semlake.llm import chat, counts, decontaminate, idfile, lines, pieces, pii, toxicity
+from semlake.llm import chat, counts, decontaminate, idfile, lines, neardup, pieces, pii, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_near_dedup": neardup.op2_near_dedup,
     "op3_token_ids": idfile.op3_token_ids,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_token_counts": counts.op5_token_counts,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_near_dedup": neardup.OP2_SQL,
     "op4_line_dedup": lines.OP4_SQL,
     "op7_chat_format": chat.OP7_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
