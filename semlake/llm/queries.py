@@ -1,6 +1,6 @@
 """The queries opN_<name> and the DuckDB SQL of those that SQL can express."""
 
-from semlake.llm import chat, counts, decontaminate, idfile, lines, neardup, pieces, pii, toxicity
+from semlake.llm import chat, counts, decontaminate, fingerprint, idfile, lines, neardup, pieces, pii, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_token_counts": counts.op5_token_counts,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_chat_format": chat.op7_chat_format,
+    "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
