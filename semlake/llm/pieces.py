@@ -24,6 +24,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,10 +33,11 @@ from semlake.llm.common import Memory, cached, map_batches, table
 
 SPACE = "\u2581"
 CUTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+IDS, DECIMAL = itemgetter(0), itemgetter(1)
 #: Documents whose ids are held at once.
 STEP = 256
 #: Distinct cuts, and distinct pairs, that a task remembers before it starts afresh.
-MEMORY = 200_000
+MEMORY = 600_000
 
 
 def default_model() -> str:
@@ -60,12 +62,21 @@ class BacktrackEncoder:
             raise ValueError("the model has pieces that cross into U+2581; texts can't be cut there")
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.end = sp.eos_id()
+        self.decimal = [f"{i} " for i in range(sp.get_piece_size())]
         # Only pieces that merging their own characters gives back ever occur.
         self.pieces = {p for p in self.id if len(p) == 1 or self.remerge(p) == [p]}
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for p in self.pieces:
-            self.machine.add_word(p, len(p))
+            if len(p) > 1:  # a character stands for itself where nothing longer matches
+                self.machine.add_word(p, len(p))
         self.machine.make_automaton()
+        self.longest = max(map(len, self.pieces))
+        #: For each path of the automaton from its root, the length of the longest piece on it.
+        self.fits: dict[str, int] = {}
+        for p in sorted(self.pieces, key=len):
+            for k in range(1, len(p) + 1):
+                if k == len(p) or p[:k] not in self.fits:
+                    self.fits[p[:k]] = k if k == len(p) else self.fits.get(p[: k - 1], 1)
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.pieces), None) for p in self.pieces}
         self.compatible = Memory(lambda pair: self.remerge(pair[0] + pair[1]) == [*pair], MEMORY)
         self.cut = Memory(self._encode_cut, MEMORY)
@@ -86,14 +97,12 @@ class BacktrackEncoder:
 
     def backtrack(self, text: str) -> list[str]:
         """The pieces of a text, by longest matches, pair checks and marks at dead ends."""
-        longest = {}
-        for last, k in self.machine.iter(text):  # ends ascend, so a start's longest match comes last
-            longest[last - k + 1] = k
         failed = bytearray(len(text) // 8 + 1)
         out: list[str] = []
         at, n = 0, len(text)
         while at < n:
-            piece = text[at : at + longest.get(at, 1)]
+            ahead = text[at : at + self.longest]
+            piece = ahead[: self.fits.get(ahead[: self.machine.longest_prefix(ahead)], 1)]
             while True:
                 end = at + len(piece)
                 if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.compatible[out[-1], piece]):
@@ -111,8 +120,11 @@ class BacktrackEncoder:
     def _encode_cut(self, cut: str) -> tuple[tuple[int, ...], str]:
         """Ids of one cut, and the same as text with a space after each."""
         parts = [cut] if cut in self.pieces else self.backtrack(cut)
-        ids = tuple(chain.from_iterable((self.id[p],) if p in self.id else [self.byte[b] for b in p.encode("utf-8")] for p in parts))
-        return ids, "".join(f"{i} " for i in ids)
+        try:
+            ids = tuple([self.id[p] for p in parts])
+        except KeyError:  # characters without a piece
+            ids = tuple(chain.from_iterable((self.id[p],) if p in self.id else [self.byte[b] for b in p.encode("utf-8")] for p in parts))
+        return ids, "".join([self.decimal[i] for i in ids])
 
     def encode(self, text: str) -> tuple[list[int], str]:
         """All ids with the end id, and the same as decimal text joined by spaces."""
@@ -123,9 +135,9 @@ class BacktrackEncoder:
             found = list(map(self.word.__getitem__, parts))
         else:
             found = list(map(self.cut.__getitem__, CUTS.findall(text)))
-        ids = list(chain.from_iterable(x[0] for x in found))
+        ids = list(chain.from_iterable(map(IDS, found)))
         ids.append(self.end)
-        return ids, "".join(x[1] for x in found) + str(self.end)
+        return ids, "".join(map(DECIMAL, found)) + str(self.end)
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids)
