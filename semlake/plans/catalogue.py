@@ -1,4 +1,6 @@
 """The query catalogue: name -> callable, and name -> DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from semlake.plans import maintenance, ordered, texts, vectors
+
+QUERIES: dict = {**vectors.QUERIES, **texts.QUERIES, **ordered.QUERIES, **maintenance.QUERIES}
+ORACLES: dict = {**vectors.ORACLES, **texts.ORACLES, **ordered.ORACLES, **maintenance.ORACLES}
