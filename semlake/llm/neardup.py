@@ -59,6 +59,8 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
             a, b = int(first[i]), int(first[i + 1])
             if b - a >= WORDS:
                 yield np.unique(runs[a : b - WORDS + 1])
+            elif b == a:
+                yield np.zeros(0, np.uint64)
             else:
                 one = h[a : a + 1].copy()
                 for k in range(a + 1, b):
