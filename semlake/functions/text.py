@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -207,3 +208,50 @@ def encode_fact(variables: Column, statement: Column) -> Column:
 def within_limit(text: Column, tokens: Column, limit: int, heading: str) -> Column:
     """The text under its heading; an error if it is more than three tokens over the limit."""
     return F.when(tokens > limit + 3, F.raise_error(F.lit(f"more than {limit} tokens"))).otherwise(F.concat(F.lit(f"#{heading}\n"), text))
+
+
+def alpha_normal(tokens: Column, is_variable) -> Column:
+    """Tokens with variables renamed v1, v2, .. by first occurrence. is_variable: Column -> Column tells them."""
+    names = F.array_distinct(F.filter(tokens, is_variable))
+    return F.transform(tokens, lambda t: F.when(is_variable(t), F.concat(F.lit("v"), F.array_position(names, t).cast("string"))).otherwise(t))
+
+
+def entity_digest(kind: Column, *parts: Column) -> Column:
+    """A digest of an entity's definition; a null part differs from an empty one."""
+    marked = [F.coalesce(F.concat(F.lit("+"), p.cast("string")), F.lit("-")) for p in parts]
+    return F.sha2(F.to_json(F.array(kind.cast("string"), *marked)), 256)
+
+
+def dependencies(*parts: Column) -> Column:
+    """The union of dependency lists, each once, sorted; null lists are empty."""
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts]))))
+
+
+def shrinker(pieces, limit: int, for_goal: bool = True):
+    """A pandas UDF that brings texts within a token limit. pieces: str -> list of str that concatenate to it.
+
+    Of a goal, lines go from the front until the rest fits; headings (###) and blank lines stay. A fact, or a goal
+    that still does not fit, is cut after the limit."""
+    def shrink(statement: str | None) -> str | None:
+        if statement is None:
+            return None
+        left = len(pieces(statement))
+        if left <= limit:
+            return statement
+        if for_goal:
+            lines, kept = statement.split("\n"), []
+            for i, line in enumerate(lines):
+                if line and not line.startswith("###"):
+                    left -= len(pieces(line))
+                    if left <= limit:
+                        return "\n".join(kept + lines[i + 1 :])
+                else:
+                    kept.append(line)
+        return "".join(pieces(statement)[:limit])
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(shrink)
+
+    run.plain = shrink
+    return run

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semlake.functions import keys
+from semlake.functions import keys, q15
 from semlake.operators import filters
 from semlake.operators.common import small
 from semlake.schemas import EXPERIENCE
@@ -152,3 +154,33 @@ def unpack_patterns(records: DataFrame) -> DataFrame:
 
 def purge_xor_kinds(df: DataFrame, kinds: Sequence[int]) -> DataFrame:
     return df.where(~((F.length("key") == keys.XOR_LENGTH) & keys.kind_tag(F.col("key")).isin(list(kinds))))
+
+
+def migrate_float32(raw: DataFrame, dimension: int) -> tuple[DataFrame, DataFrame]:
+    """(vectors in the 16-bit format, counts by state) of a raw store (model, key, value binary): by byte length a value is
+    migrated already, float32 to be quantized, or wrong and left out."""
+    state = raw.withColumn("state", filters.right_length(F.col("value"), dimension))
+
+    @F.pandas_udf("array<double>")
+    def decode(value: pd.Series) -> pd.Series:
+        kind = {2 * dimension: "<i2", 4 * dimension: "<f4"}
+        return value.map(lambda b: np.frombuffer(b, kind[len(b)]).astype(float).tolist())
+
+    good = state.where(F.col("state") != "wrong").withColumn("v", decode("value"))
+    q = F.when(F.col("state") == "unmigrated", q15.quantize(F.col("v"))).otherwise(F.transform("v", lambda x: x.cast("int")))
+    out = good.select("model", "key", F.transform(q, lambda x: x.cast("smallint")).alias("q"))
+    return out, state.groupBy("state").agg(F.count("*").alias("n"))
+
+
+def split_cached(entries: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cached, uncached, stale) entries of a file: described already, to be described, and described under another expr."""
+    held = records.where(F.col("interpretation").isNotNull()).select("key", F.col("expr").alias("stored_expr"), F.lit(True).alias("_held"))
+    both = entries.join(held, "key", "left")
+    cached = both.where("_held")
+    stale = cached.where(~F.col("expr").eqNullSafe(F.col("stored_expr")))
+    return cached.drop("_held", "stored_expr"), both.where(F.col("_held").isNull()).drop("_held", "stored_expr"), stale.drop("_held", "stored_expr")
+
+
+def unanswered(entries: DataFrame, answers: DataFrame) -> DataFrame:
+    """Entries without an answer; a file is complete when there are none."""
+    return entries.join(answers.where(F.col("interpretation").isNotNull()).select("key"), "key", "left_anti")
