@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,13 @@ def checkpoint_path(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/semlake-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Put this package's parent folder into the Python workers' path, beside what the cluster has set up."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+
+
 def cut(df: DataFrame, path: str) -> DataFrame:
     """Write and read back: the plan of an iteration stays as short as one step."""
     df.write.mode("overwrite").parquet(path)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semlake.functions import q15, text
+from semlake.operators.common import ship
 from semlake.schemas import ModelConfig
 
 
@@ -69,6 +70,7 @@ def embed_texts(df: DataFrame, column: str, provider_: Provider, out: str = "vec
                         time.sleep(first_wait * 2**attempt)
             yield batch.assign(**{out: made})
 
+    ship(df.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out}` array<float>"
     return df.mapInPandas(run, schema)
 
@@ -118,6 +120,7 @@ def rerank(top: DataFrame, query: str, text_column: str, reranker: Reranker, top
         if len(rows):
             yield rows.assign(score=reranker.scores(query, rows[text_column].tolist()))
 
+    ship(top.sparkSession)
     base = [f for f in top.schema.fields if f.name != "score"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base) + ", score double"
     return top.select(*[f.name for f in base]).coalesce(1).mapInPandas(run, schema).orderBy(F.desc("score"), "key").limit(top_n)
