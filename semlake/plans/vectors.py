@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semlake.functions import q15
-from semlake.operators import joins, rank, report, topk  # noqa: F401
+from semlake.operators import rank, report, topk
 
 K, DIMENSION = 10, 64
 

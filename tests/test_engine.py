@@ -184,7 +184,8 @@ def test_order_and_fusion(spark):
     spans = spark.createDataFrame([("n", 0, 10_000, "long"), ("n", 10_000, 10_001, "dot"), ("m", 5, 5, "empty")], "node string, start int, end int, c string")
     at = spark.createDataFrame([("n", 9_999), ("n", 10_000), ("n", 10_001), ("m", 5)], "node string, off int")
     assert [(r.off, r.c) for r in joins.span_at(at, spans, "node").orderBy("off").collect()] == [(5, None), (9_999, "long"), (10_000, "dot"), (10_001, None)]
-    assert not filters.modules_include is None
+    one = spark.range(1).select(filters.modules_include(F.lit("A.Beta"), ["x", "bet"]), filters.modules_include(F.lit("A"), [])).first()
+    assert tuple(one) == (True, True)
 
 
 def test_store_and_stream(spark, tmp_path):
