@@ -214,6 +214,8 @@ def near_links(docs: DataFrame, held: DataFrame, path: str) -> DataFrame:
     rows = held.where(F.col("doc_id") == F.col("nd_rep")).select(F.col("nd_rep").alias("node"), F.explode("nd_bands").alias("bh"))
     # A repeated row counts once more here, which only costs work.
     seen = rows.groupBy("bh").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("n")).where("hub <> last").drop("last")
+    # Written first: a join of two plain exchanges can be split where a bucket is hot.
+    seen = materialise(seen, f"{path}/seen")
     multi = materialise(rows.join(seen, "bh"), f"{path}/buckets")
     star = materialise(multi.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), f"{path}/star")
     nodes = star.select(F.col("u").alias("node")).union(star.select(F.col("v").alias("node"))).distinct()
@@ -240,10 +242,13 @@ def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, nd_shingles, nd_component) of every row."""
     path = scratch(docs.sparkSession)
     held = materialise(sketches(docs), f"{path}/sketches")
-    least = held.where("nd_a is not null and doc_id is not null").groupBy("nd_a", "nd_b").agg(F.min("doc_id").alias("nd_least"))
+    least = held.where("nd_a is not null and doc_id is not null").groupBy("nd_a", "nd_b").agg(F.min("doc_id").alias("nd_least"), F.count("*").alias("n"))
+    # Only sets of several documents are looked up. Written first: if it is too large to broadcast, the join of two
+    # plain exchanges can be split where a set is hot.
+    least = materialise(least.where("n > 1").drop("n"), f"{path}/least")
     # Null doc_ids keep a null representative, and so stay out of the buckets.
     rep = F.when(F.col("doc_id").isNotNull(), F.coalesce("nd_least", "doc_id"))
-    held = materialise(held.join(least, ["nd_a", "nd_b"], "left").select("doc_id", "nd_n", "nd_bands", rep.alias("nd_rep")), f"{path}/reps")
+    held = materialise(held.join(broadcast_within(least, least.count() * 48), ["nd_a", "nd_b"], "left").select("doc_id", "nd_n", "nd_bands", rep.alias("nd_rep")), f"{path}/reps")
     found = near_links(docs, held, path)
     out = held.join(broadcast_within(found, found.count() * 32), F.col("nd_rep") == F.col("node"), "left")
     return out.select("doc_id", F.col("nd_n").alias("nd_shingles"), F.coalesce("component", "nd_rep").alias("nd_component"))
