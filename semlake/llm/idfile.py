@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semlake.llm.common import Memory, cached, map_batches, scratch, ship, table
+from semlake.llm.common import cached, hold_only, map_batches, scratch, ship, table
 
 END_ID, SHARD_IDS, SAMPLE = 2, 1 << 19, 256
 #: Distinct chunks of text without white space that a task remembers.
-MEMORY = 200_000
+MEMORY = 2_000_000
+#: Documents whose new chunks are encoded together.
+SLICE = 256
 MAGIC = b"SLTK"
 HEADER = np.dtype([("magic", "S4"), ("version", "<u2"), ("width", "<u2"), ("docs", "<u8"), ("nulls", "<u8"), ("ids", "<u8"), ("least", "<i8"), ("bounds", "<u8")])
 
@@ -139,10 +141,12 @@ def default_tokenizer() -> str:
 
 
 class ChunkEncoder:
-    """The library's ids, chunk by chunk between white space.
+    """The library's ids, chunk by chunk between white space; each distinct chunk is encoded once.
 
     Sound for a tokenizer whose normaliser and pattern do not join text across white space: this is
-    checked on loading (white space is dropped, no prefix space, added tokens take none of it)."""
+    checked on loading (white space is dropped, no prefix space, added tokens take none of it). A comma or
+    full stop that follows a word of letters alone is a chunk of its own, and words of ASCII letters are
+    looked up in lower case if the tokenizer lower-cases."""
 
     def __init__(self, path: str):
         import json
@@ -150,19 +154,70 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         spec = json.load(open(path))
-        if any(t["lstrip"] or t["rstrip"] or any(map(str.isspace, t["content"])) for t in spec["added_tokens"]):
+        added = [t["content"] for t in spec["added_tokens"]]
+        if any(t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]) or any(map(str.isspace, "".join(added))):
             raise ValueError("added tokens that reach into white space need whole texts")
         if "\\s" not in json.dumps(spec["normalizer"]) or '"invert": true' not in json.dumps(spec["pre_tokenizer"]):
             raise ValueError("white space is not dropped by this tokenizer")
         self.model = Tokenizer.from_file(path)
+        self.lower = '"Lowercase"' in json.dumps(spec["normalizer"])
+        self.border, self.border_id = added[0], self.model.token_to_id(added[0])
         self.width = 2 if max(self.model.get_vocab_size(), END_ID + 1) <= 1 << 16 else 4
         self.end = np.array([END_ID], f"<u{self.width}").tobytes()
-        self.chunk = Memory(lambda c: np.array(self.model.encode(c, add_special_tokens=False).ids, f"<u{self.width}").tobytes(), MEMORY)
-
-    def encode(self, text: str) -> bytes:
-        # Only these three: what else counts as white space differs between libraries. An empty chunk has no ids.
-        text = text.replace("\n", " ").replace("\t", " ")
-        return b"".join(map(self.chunk.__getitem__, text.split(" "))) + self.end
+        #: Whether a run of letters is one word to the pattern.
+        self.letters = "[\\\\p{L}]+" in json.dumps(spec["pre_tokenizer"])
+        self.stored: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _base(self, chunk: str) -> tuple[str, str]:
+        """(chunk to encode, full stop or comma that follows)."""
+        # Below U+0130 no letter's lower case ends in a mark, which would join the full stop.
+        tail = chunk[-1:] if chunk[-1:] in (",", ".") and chunk[:-1].isalpha() and max(chunk) < "\u0130" else ""
+        base = chunk[: len(chunk) - len(tail)]
+        return (base.lower() if self.lower and base.isascii() and base.isalpha() else base), tail
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, in one call: each is one word to the library as well."""
+        got = self.model.encode(" ".join(words), add_special_tokens=False)
+        at = (np.searchsorted(np.array(got.word_ids), np.arange(len(words) + 1)) * self.width).tolist()
+        raw = np.array(got.ids, f"<u{self.width}").tobytes()
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks, in one call: an added token, cut out by the library first, stands between them."""
+        if any(self.border in c for c in chunks):
+            ids = [self.model.encode(c, add_special_tokens=False).ids for c in chunks]
+            return [np.array(x, f"<u{self.width}").tobytes() for x in ids]
+        ids = np.array(self.model.encode(self.border.join(["", *chunks]), add_special_tokens=False).ids, f"<u{self.width}")
+        at = np.flatnonzero(ids == self.border_id)
+        raw, starts = ids.tobytes(), (at + 1) * self.width
+        return [raw[a:b] for a, b in zip(starts.tolist(), [*(at[1:] * self.width).tolist(), len(raw)], strict=True)]
+
+    def learn(self, new: set[str]) -> None:
+        parts = {c: self._base(c) for c in new}
+        plain = {b for b, _ in parts.values()}.union((",", ".")).difference(self.stored)
+        words = {c for c in plain if c.isalpha() and max(c) < "\u0130"} if self.letters else set()
+        for encode, chunks in ((self._encode_words, sorted(words)), (self._encode, sorted(plain - words))):
+            for i in range(0, len(chunks), 2000):
+                some = chunks[i : i + 2000]
+                self.stored.update(zip(some, encode(some), strict=True))
+        for chunk, (base, tail) in parts.items():
+            if chunk not in self.stored:
+                self.stored[chunk] = self.stored[base] + (self.stored[tail] if tail else b"")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text and the end id, as little-endian bytes."""
+        # Only these three separate: what else counts as white space differs between libraries. An empty chunk has no ids.
+        words = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        seen = set(chain.from_iterable(words))
+        new = seen.difference(self.stored)
+        if len(self.stored) + len(new) > MEMORY // 2:  # what is still in use comes back from the older half
+            self.older, self.stored, new = self.stored, {}, seen
+        known = new.intersection(self.older)
+        self.stored.update((w, self.older[w]) for w in known)
+        self.learn(new.difference(known))
+        known = self.stored.__getitem__
+        return [b"".join(map(known, w)) + self.end for w in words]
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None) -> DataFrame:
@@ -175,23 +230,25 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None) -> Da
     fields = ["part", "before", "n_ids", "n_docs", "shard"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part = cached(ChunkEncoder, tokenizer), TaskContext.get().partitionId()
+        hold_only(__name__)
+        coder, number = cached(ChunkEncoder, tokenizer), TaskContext.get().partitionId()
         before, held, keys, ids = 0, 0, [], []
 
         def flush() -> pa.RecordBatch:
-            row = [[part], [before], [held], [len(ids)], [pack(keys, ids, coder.width)]]
+            row = [[number], [before], [held], [len(ids)], [pack(keys, ids, coder.width)]]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=fields)
 
         for batch in batches:
-            for key, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                raw = coder.encode(text.as_py() or "")
-                n = len(raw) // coder.width
-                if ids and held + n > SHARD_IDS:
-                    yield flush()
-                    before, held, keys, ids = before + held, 0, [], []
-                keys.append(key.as_py())
-                ids.append(raw)
-                held += n
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                for key, raw in zip(part.column("doc_id").to_pylist(), coder.encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
+                    n = len(raw) // coder.width
+                    if ids and held + n > SHARD_IDS:
+                        yield flush()
+                        before, held, keys, ids = before + held, 0, [], []
+                    keys.append(key)
+                    ids.append(raw)
+                    held += n
         if ids:
             yield flush()
 
