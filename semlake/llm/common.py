@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -99,6 +102,19 @@ class Memory(dict):
 
 
 _HELD: dict = {}
+_OWNER = ""
+
+
+def hold_only(owner: str) -> None:
+    """What another operator's tasks have left in this Python worker goes: workers outlive stages."""
+    global _OWNER
+    if owner == _OWNER:
+        return
+    _OWNER = owner
+    _HELD.clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc can hand the memory back
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def cached(make: Callable, *args):
@@ -109,7 +125,7 @@ def cached(make: Callable, *args):
     return _HELD[key]
 
 
-ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20
+ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def _bytes(value: str) -> int:
@@ -140,7 +156,10 @@ def map_batches(df: DataFrame, run: Callable[[pa.RecordBatch], Iterator[pa.Recor
     if keep:
         out = T.StructType([*df.schema.fields, *out.fields])
 
+    owner = run.__module__
+
     def each(batches):
+        hold_only(owner)
         for batch in batches:
             yield from run(batch)
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semlake.llm.bytewords import ASCII_LOWER, IS_WHITE, mix, slices, word_hashes, words
-from semlake.llm.common import broadcast_within, map_batches, materialise, scratch, ship, table
+from semlake.llm.common import broadcast_within, hold_only, map_batches, materialise, scratch, ship, table
 from semlake.llm.components import components
 
 WORDS, PERCENT = 5, 85
@@ -191,6 +191,7 @@ def compare_blocks(rows: DataFrame) -> DataFrame:
         return block_links(*([np.array([m[k] for m in s], np.int64) for s in sides] for k in (1, 2)), [[np.frombuffer(m[3], np.uint64) for m in s] for s in sides])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_only(__name__)
         key, held = None, []
         for batch in batches:
             out = []

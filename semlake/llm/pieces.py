@@ -35,7 +35,7 @@ SPACE = "\u2581"
 CUTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 IDS, DECIMAL = itemgetter(0), itemgetter(1)
 #: Documents whose ids are held at once.
-STEP = 256
+STEP = 64
 #: Distinct cuts, and distinct pairs, that a task remembers before it starts afresh.
 MEMORY = 600_000
 
@@ -48,7 +48,7 @@ def default_model() -> str:
 
 
 class BacktrackEncoder:
-    def __init__(self, model: str):
+    def __init__(self, model: str, memory: int = MEMORY):
         import ahocorasick
         import sentencepiece
 
@@ -78,9 +78,9 @@ class BacktrackEncoder:
                 if k == len(p) or p[:k] not in self.fits:
                     self.fits[p[:k]] = k if k == len(p) else self.fits.get(p[: k - 1], 1)
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.pieces), None) for p in self.pieces}
-        self.compatible = Memory(lambda pair: self.remerge(pair[0] + pair[1]) == [*pair], MEMORY)
-        self.cut = Memory(self._encode_cut, MEMORY)
-        self.word = Memory(lambda word: self._encode_cut(SPACE + word), MEMORY)
+        self.compatible = Memory(lambda pair: self.remerge(pair[0] + pair[1]) == [*pair], memory // 3)
+        self.cut = Memory(self._encode_cut, memory // 3)
+        self.word = Memory(lambda word: self._encode_cut(SPACE + word), memory)
 
     def remerge(self, text: str) -> list[str]:
         """Merge the characters of a short text: the best-scored adjacent pair first, the leftmost of equals."""
@@ -143,12 +143,13 @@ class BacktrackEncoder:
         return self.sp.decode(ids)
 
 
-def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """The documents with sp_ids (array<int>, the end id last) and sp_decoded."""
+def encode_documents(docs: DataFrame, model: str | None = None, memory: int = MEMORY // 10) -> DataFrame:
+    """The documents with sp_ids (array<int>, the end id last) and sp_decoded. memory: words that a task remembers; less
+    than for the query, as ids and texts leave through the same worker and earlier stages have filled the JVM."""
     model = model or default_model()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        coder = cached(BacktrackEncoder, model)
+        coder = cached(BacktrackEncoder, model, memory)
         texts = batch.column("text")
         for at in range(0, batch.num_rows, STEP):
             ids = [coder.encode(t or "")[0] for t in texts[at : at + STEP].to_pylist()]

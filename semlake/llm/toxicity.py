@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semlake.llm.bytewords import ASCII_LOWER, IS_GAP, mix, slices, word_hashes, words
-from semlake.llm.common import broadcast_within, map_batches, ship, table
+from semlake.llm.common import broadcast_within, hold_only, map_batches, ship, table
 
 BITS, SIZES = 18, (3, 4, 5)
 PLACES = 1 << BITS
@@ -84,6 +84,7 @@ def class_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Of each place, the distinct words that hold it, summed over the documents of either class."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_only(__name__)
         sums = np.zeros((2, PLACES))
         for batch in batches:
             label = batch.column("tx_label").to_numpy()
