@@ -7,7 +7,7 @@ from tests.llm.test_toxicity import corpus
 
 
 def test_stages_take_effect(spark, tmp_path):
-    texts, labels = corpus(400)
+    texts, labels = corpus(1500)
     rnd = random.Random(1)
     long = " ".join(f"v{rnd.randrange(500)}" for _ in range(200))
     extra = [long + "\nfooter line here", long + " end\nfooter line here", "x " + helpers.SENTENCE, *[f"own text number {i} of {i * 7}\nfooter line here" for i in range(12)], None, ""]
@@ -23,7 +23,7 @@ def test_stages_take_effect(spark, tmp_path):
         assert held.columns == docs.columns
         kept.append({r.doc_id: r.text for r in held.collect()})
     bad = {i for i, y in enumerate(labels) if y}
-    assert len(bad - set(kept[0])) > 0.9 * len(bad) and len(set(kept[0]) & set(range(400))) > 0.95 * (400 - len(bad))
+    assert len(bad - set(kept[0])) > 0.9 * len(bad) and len(set(kept[0]) & set(range(len(texts)))) > 0.95 * (len(texts) - len(bad))
     n = len(texts)
     assert kept[1][n] == long and kept[1][n + 3] == "own text number 0 of 0" and kept[1][n + 15] is None
     assert n in kept[2] and n + 1 not in kept[2]
