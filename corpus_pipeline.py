@@ -5,7 +5,7 @@ return the columns of documents. ``run`` writes each stage's result to the share
 a lost executor never costs more than the stage at hand.
 
 Decisions: documents predicted toxic go; lines found in ten or more documents go, and n_chars is counted
-anew; of each class of near duplicates the least doc_id stays; documents with a benchmark window go; what is left is
+anew; of each class of near duplicates (Jaccard 0.80 or more) the least doc_id stays; documents with a benchmark window go; what is left is
 encoded with the end id. A stage is judged on its own input: line counts, for example, are
 those of the documents that are not toxic.
 

@@ -5,7 +5,8 @@ its distinct runs of five words (of the whole sequence if it has fewer words). C
 2021) needs two permutations of the hash range: the first, sigma, breaks structure; the second, pi,
 circularly shifted by k, gives coordinate k = min over the set of pi(sigma(x) - k mod 2**64). Both are
 bijections of the 64-bit numbers. BANDS bands of ROWS coordinates make a pair at similarity
-0.85 share no band with probability 2e-7.
+0.85 share no band with probability 2e-7, at 0.80 with 3e-5. Documents are linked from PERCENT on; op2 has its own
+threshold, OP2_PERCENT.
 
 1. Equal sets collapse to the least doc_id among them, before anything else is compared.
 2. In each bucket every member is compared with the least member (a star, not all pairs), on the full sets.
@@ -35,7 +36,7 @@ from semlake.llm.bytewords import ASCII_LOWER, IS_WHITE, mix, slices, word_hashe
 from semlake.llm.common import broadcast_within, hold_only, map_batches, materialise, scratch, ship, table
 from semlake.llm.components import components
 
-WORDS, PERCENT = 5, 85
+WORDS, PERCENT, OP2_PERCENT = 5, 80, 85
 ROWS, BANDS = 5, 26
 #: Documents, and bytes of their sets, on either side of a block.
 BLOCK, BLOCK_BYTES = 512, 4 << 20
@@ -125,11 +126,11 @@ def sets_of(docs: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
     return map_batches(some.select("node", "text"), run, "node bigint, s binary", keep=False)
 
 
-def linked(both: int, a: int, b: int) -> bool:
-    return 100 * both >= PERCENT * (a + b - both)
+def linked(both: int, a: int, b: int, percent: int) -> bool:
+    return 100 * both >= percent * (a + b - both)
 
 
-def verify(pairs: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, percent: int) -> DataFrame:
     """The (u, v) of rows (u, v, su, sv) whose sets are similar enough."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -137,13 +138,13 @@ def verify(pairs: DataFrame) -> DataFrame:
         for su, sv in zip(batch.column("su"), batch.column("sv"), strict=True):
             x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (su, sv))
             few, many = sorted((len(x), len(y)))
-            ok.append(100 * few >= PERCENT * many and linked(few + many - len(np.union1d(x, y)), few, many))
+            ok.append(100 * few >= percent * many and linked(few + many - len(np.union1d(x, y)), few, many, percent))
         yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return map_batches(pairs, run, "u bigint, v bigint", keep=False)
 
 
-def block_links(nodes: list[np.ndarray], comps: list[np.ndarray], sets: list[list[np.ndarray]]) -> list[tuple[int, int]]:
+def block_links(nodes: list[np.ndarray], comps: list[np.ndarray], sets: list[list[np.ndarray]], percent: int = PERCENT) -> list[tuple[int, int]]:
     """A spanning forest of the links between the documents of two sides that are in different components.
     One side alone is compared with itself."""
     every = [s for side in sets for s in side]
@@ -164,7 +165,7 @@ def block_links(nodes: list[np.ndarray], comps: list[np.ndarray], sets: list[lis
         both += held[left.start : left.stop] @ held[right.start : right.stop].T
     comp, node = np.concatenate(comps), np.concatenate(nodes)
     a, b = size[left.start : left.stop, None], size[None, right.start : right.stop]
-    hit = (100 * both >= PERCENT * (a + b - both)) & (comp[left.start : left.stop, None] != comp[None, right.start : right.stop])
+    hit = (100 * both >= percent * (a + b - both)) & (comp[left.start : left.stop, None] != comp[None, right.start : right.stop])
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -181,14 +182,14 @@ def block_links(nodes: list[np.ndarray], comps: list[np.ndarray], sets: list[lis
     return out
 
 
-def compare_blocks(rows: DataFrame) -> DataFrame:
+def compare_blocks(rows: DataFrame, percent: int) -> DataFrame:
     """Links of rows (bh, x, y, i, node, c, s), which are brought together by block (bh, x, y): side x meets side y."""
 
     def meet(members: list[tuple]) -> list[tuple[int, int]]:
         sides = [[m for m in members if m[0] == k] for k in sorted({members[0][4], members[0][5]})]
         if not all(sides):
             return []
-        return block_links(*([np.array([m[k] for m in s], np.int64) for s in sides] for k in (1, 2)), [[np.frombuffer(m[3], np.uint64) for m in s] for s in sides])
+        return block_links(*([np.array([m[k] for m in s], np.int64) for s in sides] for k in (1, 2)), [[np.frombuffer(m[3], np.uint64) for m in s] for s in sides], percent)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold_only(__name__)
@@ -210,7 +211,7 @@ def compare_blocks(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(each, "u bigint, v bigint")
 
 
-def near_links(docs: DataFrame, held: DataFrame, path: str) -> DataFrame:
+def near_links(docs: DataFrame, held: DataFrame, path: str, percent: int) -> DataFrame:
     """(node, component) of the representatives that are linked with another; held: sketches with nd_rep."""
     rows = held.where(F.col("doc_id") == F.col("nd_rep")).select(F.col("nd_rep").alias("node"), F.explode("nd_bands").alias("bh"))
     # A repeated row counts once more here, which only costs work.
@@ -222,7 +223,7 @@ def near_links(docs: DataFrame, held: DataFrame, path: str) -> DataFrame:
     nodes = star.select(F.col("u").alias("node")).union(star.select(F.col("v").alias("node"))).distinct()
     sets = materialise(sets_of(docs, nodes, nodes.count()), f"{path}/sets")
     pairs = star.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
-    links = materialise(verify(pairs.select("u", "v", "su", "sv")), f"{path}/links")
+    links = materialise(verify(pairs.select("u", "v", "su", "sv"), percent), f"{path}/links")
     first = materialise(components(links, f"{path}/first"), f"{path}/first-components")
     # Buckets of three or more that span components: their other pairs, in blocks.
     more = multi.where("n > 2").join(first, "node", "left").select("bh", "node", "n", F.coalesce("component", "node").alias("c"))
@@ -233,14 +234,14 @@ def near_links(docs: DataFrame, held: DataFrame, path: str) -> DataFrame:
     more = more.join(total, "bh").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     more = more.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     more = more.withColumns({"x": F.least("i", "j"), "y": F.greatest("i", "j")})
-    extra = materialise(compare_blocks(more), f"{path}/extra")
+    extra = materialise(compare_blocks(more, percent), f"{path}/extra")
     if extra.isEmpty():
         return first
     return materialise(components(links.union(extra), f"{path}/second"), f"{path}/second-components")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, nd_shingles, nd_component) of every row."""
+def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, nd_shingles, nd_component) of every row; documents whose Jaccard similarity is percent / 100 or more are linked."""
     path = scratch(docs.sparkSession)
     held = materialise(sketches(docs), f"{path}/sketches")
     least = held.where("nd_a is not null and doc_id is not null").groupBy("nd_a", "nd_b").agg(F.min("doc_id").alias("nd_least"), F.count("*").alias("n"))
@@ -250,19 +251,19 @@ def classes(docs: DataFrame) -> DataFrame:
     # Null doc_ids keep a null representative, and so stay out of the buckets.
     rep = F.when(F.col("doc_id").isNotNull(), F.coalesce("nd_least", "doc_id"))
     held = materialise(held.join(broadcast_within(least, least.count() * 48), ["nd_a", "nd_b"], "left").select("doc_id", "nd_n", "nd_bands", rep.alias("nd_rep")), f"{path}/reps")
-    found = near_links(docs, held, path)
+    found = near_links(docs, held, path, percent)
     out = held.join(broadcast_within(found, found.count() * 32), F.col("nd_rep") == F.col("node"), "left")
     return out.select("doc_id", F.col("nd_n").alias("nd_shingles"), F.coalesce("component", "nd_rep").alias("nd_component"))
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
+def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents without those that are in a class with a lesser doc_id."""
-    gone = materialise(classes(docs).where("doc_id <> nd_component").select(F.col("doc_id").alias("nd_gone")).distinct(), scratch(docs.sparkSession))
+    gone = materialise(classes(docs, percent).where("doc_id <> nd_component").select(F.col("doc_id").alias("nd_gone")).distinct(), scratch(docs.sparkSession))
     return docs.join(broadcast_within(gone, gone.count() * 16), F.col("doc_id") == F.col("nd_gone"), "left_anti")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = classes(table(spark, sf_dir, "documents").select("doc_id", "text"), OP2_PERCENT)
     kept = F.coalesce(F.col("doc_id") == F.col("nd_component"), F.lit(True))
     return out.select("doc_id", F.col("nd_shingles").alias("n_shingles"), F.col("nd_component").alias("component_id"), kept.alias("kept"))
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+import corpus_pipeline
 from semlake.llm import neardup as nd
 from semlake.llm.components import components
 from tests.llm import helpers
@@ -68,6 +69,33 @@ def test_edges(spark):
     assert kept.where("doc_id is null").count() == 1 and kept.columns == helpers.edge(spark).columns
 
 
+def test_stage_links_from_eighty_percent(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 8)
+    rnd = random.Random(11)
+    texts = []
+    for base in range(24):
+        # Each text has lost the first words of the one before: similarity (n - cut) / n of neighbours, less beyond.
+        w = [f"b{base}x{rnd.randrange(10**6)}" for _ in range(204)]
+        cut = rnd.choice((33, 36, 39, 42, 48))
+        texts += [" ".join(w), " ".join(w[cut:]), " ".join(w[cut + (len(w) - cut) // 6 :])]
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    shares = [100 * len(a & b) / len(a | b) for a, b in zip(sets, sets[1:], strict=False)]
+    assert sum(80 <= s < 85 for s in shares) > 20 and any(70 < s < 80 for s in shares)
+    for j in range(len(sets)):
+        for i in range(j):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    docs = helpers.table(spark, texts)
+    kept = {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()}
+    assert kept == {i for i, r in enumerate(root) if i == r}
+    assert nd.near_dedup(docs, 85).count() > len(kept)
+    # The query keeps its own threshold.
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.op2_near_dedup(spark, helpers.write(spark, tmp_path, docs)).collect()}
+    assert got == brute(list(enumerate(texts)))
+
+
 def test_signature_estimates_similarity():
     rnd = np.random.default_rng(1)
     a = np.unique(rnd.integers(0, 2**63, 1000, dtype=np.uint64))
