@@ -43,6 +43,23 @@ def test_query(spark, tmp_path):
     assert [r.conv_id for r in chat.op7_chat_format(spark, d).collect()] == [-1]
 
 
+def test_query_takes_its_turns_by_the_mapping(spark, tmp_path):
+    names = chat.paths(spark.createDataFrame([], "text string, role string, turn int, conv_id bigint").schema)
+    assert chat.mapping_for(names, chat._mappings()) == chat._mappings()[chat.fingerprint(names)]
+    want = {7: hashlib.sha256(b"user\nhello\nassistant\nhi\n").hexdigest(), -1: hashlib.sha256(f"user\n{chat.PLANTED}\nassistant\n{chat.PLANTED}\n".encode()).hexdigest()}
+    tables = {
+        "rows": spark.createDataFrame([("x", "hi", 7, "assistant", 1), ("x", "hello", 7, "user", 0)], "source string, text string, conv_id bigint, role string, turn int"),
+        "messages": spark.createDataFrame([(7, [("user", "hello"), ("assistant", "hi")])], "conv_id bigint, messages array<struct<role string, content string>>"),
+        "shares": spark.createDataFrame([(7, [("human", "hello"), ("gpt", "hi")])], "conv_id bigint, conversations array<struct<from string, value string>>"),
+    }
+    for name, conv in tables.items():
+        d = helpers.write(spark, tmp_path / name, helpers.empty(spark), conversations=conv)
+        assert {r.conv_id: r.turns_sha256 for r in chat.op7_chat_format(spark, d).collect()} == want
+    d = helpers.write(spark, tmp_path / "other", helpers.empty(spark), conversations=spark.createDataFrame([(7, "x")], "conv_id bigint, said string"))
+    with pytest.raises(ValueError):
+        chat.op7_chat_format(spark, d)
+
+
 def test_layouts(spark):
     rows = [
         {"prompt": "p", "response": "r"},
