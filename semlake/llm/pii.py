@@ -4,7 +4,7 @@ Base kinds, leftmost and without overlap within a kind: email, ip (parts at most
 19 digits that pass Luhn) and phone (10 to 15 digits after a plus). A proposal that fails its test is
 dropped, without another try inside it. Their score is at least THRESHOLD, so all are reported.
 
-Added kinds: iban (mod 97), card13 (13 digits that pass Luhn), ssn (ddd-dd-dddd) and local_phone
+Added kinds: iban (as long as its country says, mod 97; tried at each possible start), card13 (13 digits that pass Luhn), ssn (ddd-dd-dddd) and local_phone
 (a number without a plus). Each starts from the score in ADDED, gains CONTEXT_GAIN if one of its context
 words stands within CONTEXT_CHARS code points before it or half as many after it, and is reported from THRESHOLD on.
 An added span that overlaps a base span, or an added one that is reported already, is left out.
@@ -54,7 +54,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_IBAN_REST = {k: re.compile(rf"(?: ?[A-Z0-9]){{{int(n) - 4}}}(?![A-Za-z0-9])") for k, n in IBAN_LENGTH.items()}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+().-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -72,6 +73,15 @@ def mod97(text: str) -> bool:
     return IBAN_LENGTH.get(text[:2]) == str(len(text)) and int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    done = 0
+    for m in _IBAN.finditer(text):
+        rest = _IBAN_REST.get(m[0][:2])
+        if rest and m.start() >= done and (end := rest.match(text, m.end())) and mod97(text[m.start() : end.end()]):
+            done = end.end()
+            yield m.start(), done
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """From sign to sign: the part before it runs back over its characters, at most to the last match."""
     done, at = 0, text.find("@")
@@ -112,7 +122,7 @@ def scored_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
     out = [(a, b, k, score(a, b, k, BASE_SCORE[k])) for a, b, k in base]
     taken = sorted((a, b) for a, b, *_ in out)
     if _DIGIT.search(text):
-        found = [(*m.span(), "iban") for m in _IBAN.finditer(text) if mod97(m[0])]
+        found = [(a, b, "iban") for a, b in ibans(text)]
         found += [(*m.span(), "card13") for m in _CARD.finditer(text) if len(m[0]) >= 13 and len(d := m[0].replace(" ", "").replace("-", "")) == 13 and luhn(d)]
         found += [(*m.span(), "ssn") for m in _SSN.finditer(text)] + [(*m.span(), "local_phone") for m in _LOCAL_PHONE.finditer(text)]
         for a, b, k in found:

@@ -55,6 +55,18 @@ def test_checksums_and_context():
         assert [s[2] for s in pii.scored_spans(text, pii.base_spans(text))] == want
 
 
+def test_ibans_end_where_their_country_says():
+    a, b, c = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    for one in (a, b, c):
+        for tail in (" Please pay", " BIC COBADEFF", " 2024 x", " X", ", thanks", "", "\nBIC", " é"):
+            text = f"IBAN {one}{tail}"
+            assert [s[:3] for s in pii.scored_spans(text, pii.base_spans(text))] == [(5, 5 + len(one), "iban")], text
+        for text in (f"IBAN {one}X", f"IBAN {one}0", f"IBAN x{one}", f"IBAN {one[:-1]}", f"IBAN {one[:-2]}  {one[-2:]}"):
+            assert not list(pii.ibans(text)), text
+    assert list(pii.ibans(f"{a} {b} {c}")) == [(0, 27), (28, 50), (51, 78)]
+    assert list(pii.ibans(f"DE44 {c}")) == [(5, 32)] and not list(pii.ibans("ZZ89370400440532013000"))
+
+
 def test_query_on_edge_cases(spark, tmp_path):
     d = helpers.write(spark, tmp_path, helpers.edge(spark).unionByName(helpers.table(spark, ["mail a@b.co, 10.0.0.1 é 4242 4242 4242 4242"], [9])))
     got = {(r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256, r.spans) for r in pii.op1_pii(spark, d).collect()}
