@@ -102,19 +102,43 @@ def canonical_turns(df: DataFrame) -> DataFrame:
     return df.withColumn("turns", F.expr(mapping_for(paths(df.schema), _mappings())[2].replace("@", "")))
 
 
+def held_paths(column: Column, known: list[str]) -> Column:
+    """Those of the known nested paths that a JSON object holds. A path through an array is held if each element
+    has the field; none is held where the value is an object or array itself. An empty array holds all of its paths."""
+    tops: dict[str, list[str]] = {}
+    for p in sorted(known):
+        top, _, field = p.partition("[].")
+        tops.setdefault(top, []).extend([field] if field else [])
+    ddl = lambda one: ", ".join(f"{t} array<struct<{', '.join(f'{f} {one}' for f in fields)}>>" if fields else f"{t} {one}" for t, fields in tops.items())
+    keys = F.json_object_keys(column)
+    maps = F.from_json(column, ", ".join(f"{t} array<map<string,string>>" for t in tops))
+    nested = [F.from_json(column, ddl(kind)) for kind in ("array<string>", "map<string,string>")]
+    held = []
+    for t, fields in tops.items():
+        if not fields:
+            held.append(F.when(F.array_contains(keys, t) & nested[0][t].isNull() & nested[1][t].isNull(), F.lit(t)))
+        for f in fields:
+            every = F.forall(maps[t], lambda m: F.coalesce(F.map_contains_key(m, f), F.lit(False)))  # noqa: B023
+            deep = [F.coalesce(F.exists(n[t], lambda m: m[f].isNotNull()), F.lit(False)) for n in nested]  # noqa: B023
+            held.append(F.when(every & ~deep[0] & ~deep[1], F.lit(f"{t}[].{f}")))
+    return F.array_compact(F.array(*held))
+
+
 def canonical_json(df: DataFrame, column: str = "json") -> DataFrame:
-    """Rows of JSON objects of mixed layouts: each row takes the mapping with the most fields among
-    those whose top-level fields it has. turns is null where none fits or the JSON is malformed."""
-    keys = F.json_object_keys(F.col(column))
+    """Rows of JSON objects of mixed layouts: each row takes the mapping with the fingerprint of its nested field paths
+    (of those that any layout knows), else the one with the most fields among those whose paths it holds. turns is null
+    where none fits or the JSON is malformed."""
     turns = F.lit(None).cast("array<struct<role:string,text:string>>")
     known = sorted(_mappings(LAYOUTS).values(), key=lambda m: (len(m[0]), m[1]))
     names = [f"_layout_{i}" for i in range(len(known))]
-    out = df.withColumns({n: F.from_json(F.col(column), m[1]) for n, m in zip(names, known, strict=True)})
-    for n, (fields, _, sql) in zip(names, known, strict=True):
-        top = sorted({f.split(".")[0].split("[")[0] for f in fields})
-        fits = F.size(F.array_intersect(keys, F.array(*map(F.lit, top)))) == len(top)
-        turns = F.when(fits, F.expr(sql.replace("@", f"{n}."))).otherwise(turns)
-    return out.withColumn("turns", turns).drop(*names)
+    out = df.withColumn("_paths", held_paths(F.col(column), sorted(set().union(*(m[0] for m in known)))))
+    out = out.withColumns({n: F.from_json(F.col(column), m[1]) for n, m in zip(names, known, strict=True)})
+    own = F.substring(sha256_hex(F.array_join(F.array_sort("_paths"), "\n")), 1, 16)
+    for exact in (False, True):
+        for n, (fields, _, sql) in zip(names, known, strict=True):
+            fits = own == fingerprint(fields) if exact else F.size(F.array_intersect("_paths", F.array(*map(F.lit, sorted(fields))))) == len(fields)
+            turns = F.when(fits, F.expr(sql.replace("@", f"{n}."))).otherwise(turns)
+    return out.withColumn("turns", turns).drop("_paths", *names)
 
 
 def turn_rows(df: DataFrame, key: str, order: str | None = None) -> DataFrame:

@@ -84,3 +84,26 @@ def test_layouts(spark):
     with pytest.raises(ValueError):
         chat.canonical_turns(spark.createDataFrame([(1,)], "n int"))
     assert chat.fingerprint(["b", "a"]) == chat.fingerprint(["a", "b", "a"])
+
+
+def test_json_is_matched_on_nested_paths(spark):
+    role, share = {"role": "user", "content": "u"}, {"from": "human", "value": "h"}
+    rows = [
+        ({"conversations": [role]}, None),
+        ({"messages": [share]}, None),
+        ({"messages": [role, share]}, None),
+        ({"messages": [role, None]}, None),
+        ({"messages": "text"}, None),
+        ({"messages": [role | {"content": [{"type": "text", "text": "t"}]}]}, None),
+        ({"prompt": [role], "completion": [role]}, None),
+        ({"conversations": [role], "prompt": "p", "response": "r"}, [("user", "p"), ("assistant", "r")]),
+        ({"messages": [role | {"name": "n"}, {"role": "assistant", "content": None}], "id": 1}, [("user", "u"), ("assistant", None)]),
+        ({"messages": [role], "conversations": [role]}, [("user", "u")]),
+        ({"messages": []}, []),
+        ({"prompt": "[1]", "response": '{"a": 1}'}, [("user", "[1]"), ("assistant", '{"a": 1}')]),
+        ({"turns": [{"role": "user", "text": "t"}]}, [("user", "t")]),
+    ]
+    raw = [(i, json.dumps(r)) for i, (r, _) in enumerate(rows)] + [(len(rows), '{"prompt": "p", "prompt": "q", "response": "r"}')]
+    got = {r.i: None if r.turns is None else [(t.role, t.text) for t in r.turns] for r in chat.canonical_json(spark.createDataFrame(raw, "i int, json string")).collect()}
+    assert [got[i] for i in range(len(rows))] == [want for _, want in rows]
+    assert [r for r, _ in got[len(rows)]] == ["user", "assistant"]
