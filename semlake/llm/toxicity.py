@@ -35,8 +35,8 @@ PLACES = 1 << BITS
 #: Labelled documents that the regression is fitted on, at most; half of them from each class.
 TRAIN_ROWS = 4000
 STEPS, RATE, RIDGE, SCALE = 80, 0.02, 1e-3, 10.0
-#: Ratios within so many standard errors of none are left out.
-SIGNIFICANT = 4.0
+#: Ratios within so many standard errors of none are left out. Low enough for terms that few toxic documents hold.
+SIGNIFICANT = 2.0
 
 
 def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]]:

@@ -33,6 +33,15 @@ def test_stages_take_effect(spark, tmp_path):
     assert toxicity.PLACES == 1 << 18
 
 
+def test_toxicity_stage_on_few_labels(spark, tmp_path):
+    texts, labels = corpus(400)
+    docs = helpers.table(spark, texts)
+    d = helpers.write(spark, tmp_path, docs, spark.createDataFrame(list(enumerate(labels)), "doc_id bigint, toxic int"))
+    kept = {r.doc_id for r in corpus_pipeline.toxicity_stage(spark, docs, d).collect()}
+    bad = {i for i, y in enumerate(labels) if y}
+    assert len(bad - kept) > 0.9 * len(bad) and len(kept - bad) > 0.95 * (len(texts) - len(bad))
+
+
 def test_empty_tables(spark, tmp_path):
     d = helpers.write(spark, tmp_path, helpers.empty(spark), spark.createDataFrame([], "doc_id bigint, toxic int"), spark.createDataFrame([], "item_id bigint, text string"))
     assert corpus_pipeline.run(spark, d).collect() == []

@@ -30,6 +30,13 @@ def test_held_out_accuracy(spark, tmp_path):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
 
 
+def test_rare_terms_count(spark, tmp_path):
+    texts, labels = corpus(400)
+    d = helpers.write(spark, tmp_path, helpers.table(spark, texts), spark.createDataFrame(list(enumerate(labels)), "doc_id bigint, toxic int"))
+    held = [(r.predicted, labels[r.doc_id]) for r in tx.op6_toxicity(spark, d).collect() if r.held_out]
+    assert held.count((1, 1)) > 0.9 * sum(y for _, y in held) and held.count((1, 0)) == 0
+
+
 def test_held_out_labels_are_not_used(spark):
     texts, labels = corpus(300)
     docs = helpers.table(spark, texts)
