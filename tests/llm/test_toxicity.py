@@ -47,6 +47,22 @@ def test_held_out_labels_are_not_used(spark):
     assert (a[0] == b[0]).all() and a[1] == b[1]
 
 
+def test_sample_is_of_documents_that_exist(spark, monkeypatch):
+    texts, labels = corpus(300)
+    seen = []
+    monkeypatch.setattr(tx, "fit", lambda t, y, ratio, fit=tx.fit: seen.append((t.to_pylist(), y)) or fit(t, y, ratio))
+    # Most labels have no document, and one labelled document repeats.
+    hot = next(i for i, y in enumerate(labels) if y and zlib.crc32(str(i).encode()) % 5)
+    docs = helpers.table(spark, texts + [texts[hot]] * 500, [*range(300), *[hot] * 500])
+    known = spark.createDataFrame([*enumerate(labels), *[(i, i % 2) for i in range(1000, 8000)]], "doc_id bigint, toxic int")
+    tx.train(docs, known, 60)
+    tx.train(docs, known)
+    (few, few_y), (every, every_y) = seen
+    assert len(few) == 60 and few_y.sum() == 30
+    train = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(every) == sorted(texts[i] for i in train) and every_y.sum() == sum(labels[i] for i in train)
+
+
 def test_edges(spark):
     docs = helpers.edge(spark)
     frame = lambda y: spark.createDataFrame(y, "doc_id bigint, toxic int")
