@@ -9,9 +9,12 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,6 +104,96 @@ class Memory(dict):
         return value
 
 
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1 .. of each stretch, one stretch after another."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class WordIds:
+    """The ids of words, made for many new words in one call and kept until there would be more than ``most``; then
+    the table starts afresh. make(words) gives all their ids in one array and the number of each. The word None has the end id."""
+
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int, end: int):
+        self.make, self.most, self.end = make, most, end
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str | None, int] = {None: 0}
+        self.used, self.ids, self.start, self.size = 1, np.array([self.end], np.int32), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        n = len(self.number)
+        ids, size = self.make(words)
+        self.number.update(zip(words, range(n, n + len(words)), strict=True))
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(self.used + len(ids), np.int32)])
+        if n + len(words) > len(self.size):
+            more = np.zeros(n + len(words), np.int64)
+            self.start, self.size = np.concatenate([self.start, more]), np.concatenate([self.size, more])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.size[n : n + len(words)] = size
+        self.start[n : n + len(words)] = self.used + np.cumsum(size) - size
+        self.used += len(ids)
+
+    def look_up(self, texts: list[list[str | None]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each begins (and the end)."""
+        words = list(chain.from_iterable(texts))
+        found = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0).tolist()
+        if missing:
+            new = dict.fromkeys(map(words.__getitem__, missing))
+            if len(self.number) + len(new) > self.most:
+                self.clear()
+                missing, new = range(len(words)), dict.fromkeys(words)
+                new.pop(None, None)
+            self.learn(list(new))
+            found[missing] = np.fromiter(map(self.number.__getitem__, map(words.__getitem__, missing)), np.int64, len(missing))
+        size = self.size[found]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[ragged(self.start[found], size)]
+        bounds = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        return ids, np.concatenate([[0], np.append(ends, total)[bounds - 1]]) if len(bounds) else np.zeros(1, np.int64)
+
+
+class IntTable:
+    """A fixed table from integers below 2**42 to integers below 2**20, looked up for whole arrays: open addressing, key and
+    value in one place."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: int):
+        bits = max(4, (3 * len(keys)).bit_length())
+        self.shift, self.mask, self.missing = np.uint64(64 - bits), (1 << bits) - 1, missing
+        self.place = np.full(1 << bits, -1, np.int64)
+        slot = self._slot(keys)
+        while len(keys):
+            free = self.place[slot] < 0
+            self.place[slot[free]] = (keys << 20 | values)[free]  # of several keys one is kept
+            left = self.place[slot] >> 20 != keys
+            keys, values, slot = keys[left], values[left], (slot[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        x = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x >>= self.shift
+        return x.view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        held = self.place[slot]
+        out = np.where(held < 0, self.missing, held & 0xFFFFF)
+        other = np.flatnonzero((held >> 20 != keys) & (held >= 0))
+        slot, keys = slot[other], keys[other]
+        while len(other):
+            slot = (slot + 1) & self.mask
+            held = self.place[slot]
+            out[other] = np.where(held < 0, self.missing, held & 0xFFFFF)
+            on = (held >> 20 != keys) & (held >= 0)
+            other, slot, keys = other[on], slot[on], keys[on]
+        return out
+
+
 _HELD: dict = {}
 _OWNER = ""
 
@@ -110,6 +203,7 @@ def hold_only(owner: str) -> None:
     global _OWNER
     if owner == _OWNER:
         return
+    gc.set_threshold(200_000, 50, 100)  # tables of words hold no cycles, and walking them is slow
     _OWNER = owner
     _HELD.clear()
     gc.collect()
@@ -138,6 +232,16 @@ def _bytes(value: str) -> int:
     return int(digits) << (0 if units[unit] == 1 else units[unit])
 
 
+def row_slices(column: pa.Array, n_bytes: int) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of portions of a column of about that many bytes, one row at least."""
+    sizes = pc.cumulative_sum(pc.fill_null(pc.binary_length(column), 0).cast(pa.int64())).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + n_bytes, "right")))
+        yield at, end - at
+        at = end
+
+
 def ship(spark: SparkSession) -> None:
     """Workers import this package: its parent folder goes into their PYTHONPATH, beside whatever
     the cluster has set up (--py-files or an installed package)."""
