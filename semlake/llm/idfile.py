@@ -21,9 +21,10 @@ tables give an empty folder and result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate, chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semlake.llm.common import cached, hold_only, map_batches, scratch, ship, table
+from semlake.llm.common import WordIds, cached, hold_only, map_batches, ragged, row_slices, scratch, ship, table
 
 END_ID, SHARD_IDS, SAMPLE = 2, 1 << 19, 256
-#: Distinct chunks of text without white space that a task remembers.
-MEMORY = 2_000_000
-#: Documents whose new chunks are encoded together.
-SLICE = 256
+#: Distinct chunks of text without white space that a task remembers before it starts afresh.
+MEMORY = 800_000
+#: Bytes of text whose chunks are looked up together.
+STEP_BYTES = 1 << 20
 MAGIC = b"SLTK"
 HEADER = np.dtype([("magic", "S4"), ("version", "<u2"), ("width", "<u2"), ("docs", "<u8"), ("nulls", "<u8"), ("ids", "<u8"), ("least", "<i8"), ("bounds", "<u8")])
 
@@ -87,14 +88,22 @@ class EliasFano:
             raise IndexError(i)
         at = int(self.samples[i // SAMPLE])
         left, byte = i % SAMPLE, at // 8
-        rest = np.unpackbits(self.highs[byte : byte + 1], bitorder="little")
-        rest[: at % 8] = 0
-        while left >= (ones := int(rest.sum())):
+        rest = self.highs[byte] >> (at % 8) << (at % 8)
+        while left >= (ones := int(rest).bit_count()):
             left -= ones
             byte += 1
-            rest = np.unpackbits(self.highs[byte : byte + 1], bitorder="little")
-        one = byte * 8 + int(np.flatnonzero(rest)[left])
-        return ((one - i) << self.low) | int(self._lows(i, i + 1)[0])
+            rest = self.highs[byte]
+        rest = int(rest)
+        for _ in range(left):  # drop the ones before it
+            rest &= rest - 1
+        one = byte * 8 + (rest & -rest).bit_length() - 1
+        return (one - i) << self.low | self._low(i)
+
+    def _low(self, i: int) -> int:
+        """The low bits of the i-th value, from the bytes that hold them."""
+        at = i * self.low
+        held = int.from_bytes(self.lows[at // 8 : (at + self.low + 7) // 8].tobytes(), "little")
+        return held >> at % 8 & (1 << self.low) - 1
 
     def values(self) -> np.ndarray:
         """All values, by one select over the whole bit string."""
@@ -140,84 +149,98 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Letters whose composed form and one lower case are themselves or each other: ASCII, and Latin below U+0130.
+LETTERS = "A-Za-zÀ-ÖØ-öø-į"
+
+
 class ChunkEncoder:
     """The library's ids, chunk by chunk between white space; each distinct chunk is encoded once.
 
-    Sound for a tokenizer whose normaliser and pattern do not join text across white space: this is
-    checked on loading (white space is dropped, no prefix space, added tokens take none of it). A comma or
-    full stop that follows a word of letters alone is a chunk of its own, and words of ASCII letters are
-    looked up in lower case if the tokenizer lower-cases."""
+    Sound for a tokenizer that composes characters, turns white space into gaps, lower-cases, cuts words out with a pattern and merges
+    bytes inside each word: this is checked on loading. Chunks of plain characters (visible ASCII, LETTERS) are lower-cased, those
+    not met before are cut here by the tokenizer's own pattern, and the library's model merges each new word. Other chunks go through the
+    whole tokenizer."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
         import json
 
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         spec = json.load(open(path))
         added = [t["content"] for t in spec["added_tokens"]]
         if any(t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]) or any(map(str.isspace, "".join(added))):
             raise ValueError("added tokens that reach into white space need whole texts")
-        if "\\s" not in json.dumps(spec["normalizer"]) or '"invert": true' not in json.dumps(spec["pre_tokenizer"]):
+        normal, cut = (spec[k] or {} for k in ("normalizer", "pre_tokenizer"))
+        steps, cuts = normal.get("normalizers", []), cut.get("pretokenizers", [])
+        if [x["type"] for x in steps] != ["NFC", "Replace", "Lowercase"] or steps[1]["pattern"] != {"Regex": "\\s+"}:
+            raise ValueError("this tokenizer's normaliser is not known to keep chunks apart")
+        if [x["type"] for x in cuts] != ["Split", "ByteLevel"] or not cuts[0]["invert"] or cuts[0]["behavior"] != "Removed" or cuts[1]["use_regex"] or cuts[1]["add_prefix_space"]:
             raise ValueError("white space is not dropped by this tokenizer")
+        pattern = cuts[0]["pattern"]["Regex"].replace(r"\p{L}", LETTERS).replace(r"\p{N}", "0-9")
+        if "\\p" in pattern:
+            raise ValueError("the tokenizer's pattern has classes that are not known here")
+        self.words = re.compile(pattern + "|\n").findall
+        self.plain = re.compile(f"[ \\n\\t!-~{LETTERS}]*").fullmatch
+        self.mapped = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.model = Tokenizer.from_file(path)
-        self.lower = '"Lowercase"' in json.dumps(spec["normalizer"])
+        self.merge = self.model.model.tokenize
+        self.added = re.compile("|".join(map(re.escape, added))).search
         self.border, self.border_id = added[0], self.model.token_to_id(added[0])
         self.width = 2 if max(self.model.get_vocab_size(), END_ID + 1) <= 1 << 16 else 4
-        self.end = np.array([END_ID], f"<u{self.width}").tobytes()
-        #: Whether a run of letters is one word to the pattern.
-        self.letters = "[\\\\p{L}]+" in json.dumps(spec["pre_tokenizer"])
-        self.stored: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _base(self, chunk: str) -> tuple[str, str]:
-        """(chunk to encode, full stop or comma that follows)."""
-        # Below U+0130 no letter's lower case ends in a mark, which would join the full stop.
-        tail = chunk[-1:] if chunk[-1:] in (",", ".") and chunk[:-1].isalpha() and max(chunk) < "\u0130" else ""
-        base = chunk[: len(chunk) - len(tail)]
-        return (base.lower() if self.lower and base.isascii() and base.isalpha() else base), tail
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters alone, in one call: each is one word to the library as well."""
-        got = self.model.encode(" ".join(words), add_special_tokens=False)
-        at = (np.searchsorted(np.array(got.word_ids), np.arange(len(words) + 1)) * self.width).tolist()
-        raw = np.array(got.ids, f"<u{self.width}").tobytes()
-        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks, in one call: an added token, cut out by the library first, stands between them."""
+        self.table = WordIds(self._make, memory, END_ID)
+
+    def _whole(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of chunks by the whole tokenizer: an added token, cut out by it first, stands between them."""
         if any(self.border in c for c in chunks):
-            ids = [self.model.encode(c, add_special_tokens=False).ids for c in chunks]
-            return [np.array(x, f"<u{self.width}").tobytes() for x in ids]
-        ids = np.array(self.model.encode(self.border.join(["", *chunks]), add_special_tokens=False).ids, f"<u{self.width}")
-        at = np.flatnonzero(ids == self.border_id)
-        raw, starts = ids.tobytes(), (at + 1) * self.width
-        return [raw[a:b] for a, b in zip(starts.tolist(), [*(at[1:] * self.width).tolist(), len(raw)], strict=True)]
-
-    def learn(self, new: set[str]) -> None:
-        parts = {c: self._base(c) for c in new}
-        plain = {b for b, _ in parts.values()}.union((",", ".")).difference(self.stored)
-        words = {c for c in plain if c.isalpha() and max(c) < "\u0130"} if self.letters else set()
-        for encode, chunks in ((self._encode_words, sorted(words)), (self._encode, sorted(plain - words))):
-            for i in range(0, len(chunks), 2000):
-                some = chunks[i : i + 2000]
-                self.stored.update(zip(some, encode(some), strict=True))
-        for chunk, (base, tail) in parts.items():
-            if chunk not in self.stored:
-                self.stored[chunk] = self.stored[base] + (self.stored[tail] if tail else b"")
+            return [self.model.encode(c, add_special_tokens=False).ids for c in chunks]
+        ids = np.array(self.model.encode(self.border.join(["", *chunks]), add_special_tokens=False).ids)
+        return [x[1:].tolist() for x in np.split(ids, np.flatnonzero(ids == self.border_id))[1:]]
+
+    def _make(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of what _keys gives, and the number of each."""
+        rest = [i for i, c in enumerate(chunks) if c[:1] == " "]
+        if rest:
+            whole = [x for at in range(0, len(rest), 2000) for x in self._whole([chunks[i][1:] for i in rest[at : at + 2000]])]
+            chunks = ["" if c[:1] == " " else c for c in chunks]
+        # The words of all chunks in one pass, a line feed between the chunks.
+        words = self.words("\n".join(chunks))
+        number = dict.fromkeys(words)
+        number.update(zip(number, range(len(number)), strict=True))
+        table, merge, mapped = self.table, self.merge, self.mapped
+        known = np.fromiter(map(table.number.get, number, repeat(-1)), np.int64, len(number))  # words that were chunks before
+        new = [w for w, k in zip(number, known.tolist(), strict=True) if k < 0 and w != "\n"]
+        merged = [[t.id for t in merge(w if w.isascii() else mapped(w)[0][0])] for w in new]
+        size = np.zeros(len(number), np.int64)
+        fresh = [number[w] for w in new]
+        size[fresh] = np.fromiter(map(len, merged), np.int64, len(merged))
+        start = table.used + np.cumsum(size) - size
+        held = known >= 0
+        start[held], size[held] = table.start[known[held]], table.size[known[held]]
+        all_ids = np.concatenate([table.ids[: table.used], np.fromiter(chain.from_iterable(merged), np.int32, sum(map(len, merged)))])
+        place = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        ids = all_ids[ragged(start[place], size[place])]
+        chunk = np.cumsum(place == number["\n"]) if "\n" in number else np.zeros(len(place), np.int64)
+        sizes = np.bincount(chunk, weights=size[place], minlength=len(chunks)).astype(np.int64)
+        if rest:
+            bounds = np.cumsum(sizes)[rest]
+            ids = np.insert(ids, np.repeat(bounds, list(map(len, whole))), list(chain.from_iterable(whole)))
+            sizes[rest] = list(map(len, whole))
+        return ids, sizes
+
+    def _keys(self, text: str) -> list[str]:
+        """The chunks of a text, lower-cased; one that is not plain stands as it is, marked by a space before it."""
+        if self.plain(text) and not self.added(text):
+            return text.lower().split()
+        # Only these three separate: what else counts as white space differs between libraries. An empty chunk has no ids.
+        chunks = text.replace("\n", " ").replace("\t", " ").split(" ")
+        return [c.lower() if self.plain(c) and not self.added(c) else " " + c for c in chunks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as little-endian bytes."""
-        # Only these three separate: what else counts as white space differs between libraries. An empty chunk has no ids.
-        words = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        seen = set(chain.from_iterable(words))
-        new = seen.difference(self.stored)
-        if len(self.stored) + len(new) > MEMORY // 2:  # what is still in use comes back from the older half
-            self.older, self.stored, new = self.stored, {}, seen
-        known = new.intersection(self.older)
-        self.stored.update((w, self.older[w]) for w in known)
-        self.learn(new.difference(known))
-        known = self.stored.__getitem__
-        return [b"".join(map(known, w)) + self.end for w in words]
+        ids, bounds = self.table.look_up([[*self._keys(t), None] for t in texts])
+        raw = ids.astype(f"<u{self.width}").tobytes()
+        return [raw[a * self.width : b * self.width] for a, b in pairwise(bounds.tolist())]
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None) -> DataFrame:
@@ -239,8 +262,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None) -> Da
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=fields)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for at, size in row_slices(batch.column("text"), STEP_BYTES):
+                part = batch.slice(at, size)
                 for key, raw in zip(part.column("doc_id").to_pylist(), coder.encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
                     n = len(raw) // coder.width
                     if ids and held + n > SHARD_IDS:
@@ -269,10 +292,14 @@ def read_shards(shards: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for at, raw in zip(batch.column("at"), batch.column("shard"), strict=True):
             shard = Shard(raw.as_py())
-            bounds = shard.bounds.values().astype(np.int64)
-            ids = shard.ids.astype("<u4")
-            crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            columns = [pa.array(shard.doc_ids(), pa.int64()), pa.array(bounds[:-1] + at.as_py()), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())]
+            keys, base, end = shard.doc_ids(), at.as_py(), 0
+            start, size, crc = [], [], []
+            for i in range(shard.n):  # offsets come one by one from the bit string
+                begin, end = end, shard.bounds.select(i + 1)
+                start.append(base + begin)
+                size.append(end - begin)
+                crc.append(zlib.crc32(shard.ids[begin:end].astype("<u4").tobytes()))
+            columns = [pa.array(x, pa.int64()) for x in (keys, start, size, crc)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return map_batches(rows, run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint", keep=False)
