@@ -67,6 +67,23 @@ def broadcast_within(df: DataFrame, n_bytes: int, most: int = BROADCAST_BYTES) -
     return F.broadcast(df) if n_bytes <= most else df
 
 
+def others(df: DataFrame, names: list[str]) -> list[Column]:
+    """The columns of df that are not named so (Spark's names know no case)."""
+    taken = {n.lower() for n in names}
+    return [df[f"`{c}`"] for c in df.columns if c.lower() not in taken]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as df's columns leave it free."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII text takes the byte-wise path of ``lower``."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
@@ -254,10 +271,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, run: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, keep: bool = True) -> DataFrame:
-    """mapInArrow batch by batch; schema: of the new columns, or with keep=False of all."""
+    """mapInArrow batch by batch; schema: of the new columns, or with keep=False of all. A column that has the name of a
+    new one is replaced, as withColumn does."""
     ship(df.sparkSession)
     out = T._parse_datatype_string(schema)
     if keep:
+        df = df.select(*others(df, out.names))
         out = T.StructType([*df.schema.fields, *out.fields])
 
     owner = run.__module__

@@ -5,33 +5,39 @@ Base kinds, leftmost and without overlap within a kind: email, ip (parts at most
 dropped, without another try inside it. Their score is at least THRESHOLD, so all are reported.
 
 Added kinds: iban (as long as its country says, mod 97; tried at each possible start), card13 (13 digits that pass Luhn), ssn (ddd-dd-dddd) and local_phone
-(a number without a plus). Each starts from the score in ADDED, gains CONTEXT_GAIN if one of its context
+(a number without a plus) and secret. Each starts from the score in ADDED, gains CONTEXT_GAIN if one of its context
 words stands within CONTEXT_CHARS code points before it or half as many after it, and is reported from THRESHOLD on.
-An added span that overlaps a base span, or an added one that is reported already, is left out.
+A secret is a run of SECRET_CHARS letters, digits and the signs of base64 that holds letters and digits and at least SECRET_BITS bits of
+entropy a character; only its context tells it from other codes. An added span that overlaps a base span, or one of an added kind that is listed before its own, is left out.
 
 The patterns are anchored so that each scans a text once, also texts of one long run of digits
 or letters. Positions are code points, the end exclusive.
 
 Defined results: null and empty texts have no spans; very long texts are scanned whole; repeated rows
-are answered one by one; an empty table gives an empty result; other columns are carried through.
+are answered one by one; an empty table gives an empty result; other columns are carried through, but for one named pii, which is replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from semlake.llm.common import map_batches, table
+from semlake.llm.common import map_batches, sha256_hex, table
 
 BASE = ("email", "ip", "card", "phone")
-ORDER = {k: i for i, k in enumerate((*BASE, "iban", "card13", "ssn", "local_phone"))}
+ORDER = {k: i for i, k in enumerate((*BASE, "iban", "card13", "ssn", "local_phone", "secret"))}
 THRESHOLD, CONTEXT_GAIN, CONTEXT_CHARS = 0.5, 0.35, 60
 #: Kind -> score of a confirmed proposal without context.
-ADDED = {"iban": 0.9, "card13": 0.3, "ssn": 0.3, "local_phone": 0.2}
+ADDED = {"iban": 0.9, "card13": 0.3, "ssn": 0.3, "local_phone": 0.2, "secret": 0.3}
+#: Least and most characters of a secret, and its least entropy in bits a character.
+SECRET_CHARS, SECRET_BITS = (16, 256), 3.0
 BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7}
 CONTEXT = {
     "email": "mail email contact write correo courriel",
@@ -42,6 +48,7 @@ CONTEXT = {
     "card13": "card credit debit visa payment karte carte tarjeta",
     "ssn": "ssn social security taxpayer",
     "local_phone": "phone tel telephone call mobile cell fax telefon telefono",
+    "secret": "token secret key apikey password passwd pwd auth authorization bearer credential credentials signature",
 }
 #: Length of an IBAN by country.
 IBAN_LENGTH = dict(
@@ -58,6 +65,7 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
 _IBAN_REST = {k: re.compile(rf"(?: ?[A-Z0-9]){{{int(n) - 4}}}(?![A-Za-z0-9])") for k, n in IBAN_LENGTH.items()}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+().-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+")
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"[0-9]")
 _DOUBLED = [sum(divmod(2 * d, 10)) for d in range(10)]
@@ -116,27 +124,48 @@ def in_context(text: str, start: int, end: int, kind: str) -> bool:
     return not set(CONTEXT[kind].split()).isdisjoint(w.lower() for w in _WORD.findall(near))
 
 
+def is_secret(run: str) -> bool:
+    if not SECRET_CHARS[0] <= len(run) <= SECRET_CHARS[1] or run.isalpha() or not any(map(str.isalpha, run)) or not any(map(str.isdigit, run)):
+        return False
+    return -sum(n / len(run) * math.log2(n / len(run)) for n in Counter(run).values()) >= SECRET_BITS
+
+
+def proposals(text: str) -> Iterator[list[tuple[int, int, str]]]:
+    """The confirmed proposals of each added kind, in the order of the kinds."""
+    yield [(a, b, "iban") for a, b in ibans(text)]
+    yield [(*m.span(), "card13") for m in _CARD.finditer(text) if len(m[0]) >= 13 and len(d := m[0].replace(" ", "").replace("-", "")) == 13 and luhn(d)]
+    yield [(*m.span(), "ssn") for m in _SSN.finditer(text)]
+    yield [(*m.span(), "local_phone") for m in _LOCAL_PHONE.finditer(text)]
+    yield [(*m.span(), "secret") for m in _SECRET.finditer(text) if is_secret(m[0])]
+
+
+def merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover, apart from each other and ascending."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def scored_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, float]]:
     """Base spans and the added ones that reach THRESHOLD, with their scores, in the same order."""
     score = lambda a, b, kind, least: min(1.0, least + CONTEXT_GAIN * in_context(text, a, b, kind))
     out = [(a, b, k, score(a, b, k, BASE_SCORE[k])) for a, b, k in base]
-    taken = sorted((a, b) for a, b, *_ in out)
     if _DIGIT.search(text):
-        found = [(a, b, "iban") for a, b in ibans(text)]
-        found += [(*m.span(), "card13") for m in _CARD.finditer(text) if len(m[0]) >= 13 and len(d := m[0].replace(" ", "").replace("-", "")) == 13 and luhn(d)]
-        found += [(*m.span(), "ssn") for m in _SSN.finditer(text)] + [(*m.span(), "local_phone") for m in _LOCAL_PHONE.finditer(text)]
-        for a, b, k in found:
-            s = score(a, b, k, ADDED[k])
-            if s >= THRESHOLD and not any(x < b and a < y for x, y in taken):
-                out.append((a, b, k, s))
-                taken.append((a, b))
+        for found in proposals(text):  # spans of one kind do not overlap each other
+            if found:
+                starts, ends = merged([s[:2] for s in out])
+                # Of the stretches that begin before b the last one ends last.
+                free = [(a, b, k) for a, b, k in found if not (i := bisect_left(starts, b)) or ends[i - 1] <= a]
+                out += [(a, b, k, s) for a, b, k in free if (s := score(a, b, k, ADDED[k])) >= THRESHOLD]
     return sorted(out, key=lambda s: (s[0], ORDER[s[2]]))
 
 
-def joined(spans) -> str:
-    return ",".join(f"{s[2]}:{s[0]}:{s[1]}" for s in spans)
-
-
 def find_pii(docs: DataFrame) -> DataFrame:
     """The documents with pii, array<struct<kind, start, end, score, text>>."""
 
@@ -151,17 +180,16 @@ def find_pii(docs: DataFrame) -> DataFrame:
     return map_batches(docs, run, "pii array<struct<kind:string,start:int,end:int,score:double,text:string>>")
 
 
-def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+def listed(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for key, spans in zip(batch.column("doc_id").to_pylist(), batch.column("pii").to_pylist(), strict=True):
-            every = [(s["start"], s["end"], s["kind"]) for s in spans]
-            base = [s for s in every if s[2] in BASE]
-            rows.append((key, *(sum(s[2] == k for s in base) for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
-        names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"]
-        kinds = [pa.int64()] * 5 + [pa.string()] * 2
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(7)], names=names)
-
-    return map_batches(found, run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string", keep=False)
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the contract, n_added (spans of added kinds) and top_score (null without spans), from the operator's spans."""
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("pii")
+    base = F.filter(spans, lambda s: s["kind"].isin(*BASE))
+    counts = [F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]  # noqa: B023
+    added = (F.size(spans) - F.size(base)).cast("long").alias("n_added")
+    top = F.array_max(F.transform(spans, lambda s: s["score"])).alias("top_score")
+    return found.select("doc_id", *counts, sha256_hex(listed(base)).alias("base_sha256"), listed(spans).alias("spans"), added, top)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from semlake.llm import pii
 from tests.llm import helpers
@@ -67,6 +68,50 @@ def test_ibans_end_where_their_country_says():
     assert list(pii.ibans(f"DE44 {c}")) == [(5, 32)] and not list(pii.ibans("ZZ89370400440532013000"))
 
 
+def test_secrets_by_entropy_and_context():
+    hexes = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
+    for text, want in (
+        (f'the token = "{hexes}" here', ["secret"]), (f"commit {hexes} here", []), ("api key: aaaaaaaaaaaaaaaa1111", []), ("password thisisalongwordwithoutdigits", []),
+        ("password 12345678901234567", []), ("auth AbC9dEf8GhI7jKl6", ["secret"]), (f"secret {hexes[:15]}", []), ("token " + "a1B2" * 65, []), (f"{hexes} is the token", ["secret"]),
+    ):
+        assert [s[2] for s in pii.scored_spans(text, pii.base_spans(text))] == want, text
+
+
+def brute_added(text):
+    """All proposals of the added kinds, the plain way: each against every span that stands already."""
+    base = pii.base_spans(text)
+    out, taken = list(base), [s[:2] for s in base]
+    for found in pii.proposals(text):
+        new = [(a, b, k) for a, b, k in found if not any(x < b and a < y for x, y in taken) and pii.ADDED[k] + pii.CONTEXT_GAIN * pii.in_context(text, a, b, k) >= pii.THRESHOLD]
+        out += new
+        taken += [s[:2] for s in new]
+    return sorted(out, key=lambda s: (s[0], pii.ORDER[s[2]]))
+
+
+def test_added_kinds_equal_the_plain_way(spark, tmp_path):
+    rnd = random.Random(8)
+    parts = ["DE89370400440532013000", "078-05-1120", "555-123-4567", "4222222222222", "+1 (555) 123-4567", "f3ef4d6b2755a36d7d9c", "token", "ssn", "card", "phone", "10.0.0.1", "x", "-", " "]
+    texts = [rnd.choice(["", " "]).join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(3000)]
+    for t in texts:
+        assert [s[:3] for s in pii.scored_spans(t, pii.base_spans(t))] == brute_added(t), t
+    d = helpers.write(spark, tmp_path, helpers.table(spark, texts[:300]))
+    got = {r.doc_id: r for r in pii.op1_pii(spark, d).collect()}
+    for i, t in enumerate(texts[:300]):
+        want = brute_added(t)
+        assert got[i].spans == ",".join(f"{k}:{a}:{b}" for a, b, k in want) and got[i].n_added == sum(s[2] not in pii.BASE for s in want)
+        assert (got[i].top_score is None) == (not want)
+
+
+def test_added_spans_take_linear_time():
+    took = []
+    for n in (2000, 16_000):
+        text = "call 555-123-4567 " * n
+        began = time.process_time()
+        assert len(pii.scored_spans(text, pii.base_spans(text))) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * 4 * took[0]
+
+
 def test_query_on_edge_cases(spark, tmp_path):
     d = helpers.write(spark, tmp_path, helpers.edge(spark).unionByName(helpers.table(spark, ["mail a@b.co, 10.0.0.1 é 4242 4242 4242 4242"], [9])))
     got = {(r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256, r.spans) for r in pii.op1_pii(spark, d).collect()}
