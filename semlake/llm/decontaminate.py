@@ -12,7 +12,8 @@ benchmark is joined by a shuffle on the window hash. Hits are kept per distinct
 Defined results: null, empty or wordless texts have no words, no hits and no items;
 null item texts have no windows; items with the same window all count; a document
 shorter than every window has no hits; repeated rows are answered one by one; empty
-tables give empty or clean results; other columns are carried through untouched.
+tables give empty or clean results; other columns are carried through untouched, but for those
+named like the new ones, which are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semlake.llm.common import ascii_lower, broadcast_within, digest128, materialise, scratch, sha256_hex, table
+from semlake.llm.common import ascii_lower, broadcast_within, digest128, materialise, others, remove, scratch, sha256_hex, table, unused
 
 N = 10
 GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -48,23 +49,24 @@ def benchmark_windows(bench: DataFrame, n: int = N) -> DataFrame:
 def hits(docs: DataFrame, bench: DataFrame, n: int = N, path: str | None = None) -> tuple[DataFrame, int]:
     """Per distinct text with hits: (ta, tb, dc_hit, dc_items), and the bytes they take.
 
-    dc_hit: positions of the words inside windows; dc_items: ids of the items, as sorted strings."""
+    dc_hit: positions of the words inside windows; dc_items: ids of the items, as sorted strings. Windows meet their
+    items once for each distinct set of windows that a text holds, not for each occurrence."""
     spark = docs.sparkSession
     path = path or scratch(spark)
-    grams = materialise(benchmark_windows(bench, n), f"{path}/windows")
-    lengths = sorted(r[0] for r in grams.select("len").distinct().collect())  # at most n values
-    size = grams.agg(F.coalesce(F.sum(F.length(F.concat_ws(" ", "gram")) * 4 + 64), F.lit(0))).first()[0]
+    grams = materialise(benchmark_windows(bench, n), f"{path}/grams")
+    windows = materialise(grams.select("len", "h", "gram").distinct().withColumn("wid", F.monotonically_increasing_id()), f"{path}/windows")
+    lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # at most n values
+    if not lengths:
+        return spark.createDataFrame([], "ta bigint, tb bigint, dc_hit array<int>, dc_items array<string>"), 0
+    size = windows.agg(F.coalesce(F.sum(F.length(F.concat_ws(" ", "gram")) * 4 + 64), F.lit(0))).first()[0]
     held = docs.select(digest128(F.coalesce("text", F.lit(""))).alias("t"), words(F.col("text")).alias("w"))
     held = held.where(F.size("w") > 0)
-    parts = [held.select("t", F.lit(k).alias("len"), F.posexplode(_windows("w", k)).alias("pos", "h")) for k in lengths]
-    if not parts:
-        none = "ta bigint, tb bigint, dc_hit array<int>, dc_items array<string>"
-        return spark.createDataFrame([], none), 0
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    keys = grams.select("h", "len").distinct()
-    found = found.join(broadcast_within(keys, size), ["h", "len"], "left_semi")
+    if len(lengths) == 1:
+        found = held.select("t", F.lit(lengths[0]).alias("len"), F.posexplode(_windows("w", lengths[0])).alias("pos", "h"))
+    else:  # the windows of all lengths in one scan
+        spots = lambda k: F.transform(_windows("w", k), lambda h, i: F.struct(F.lit(k).alias("len"), i.alias("pos"), h.alias("h")))
+        found = held.select("t", F.explode(F.concat(*map(spots, lengths))).alias("x")).select("t", "x.*")
+    found = found.join(broadcast_within(windows.select("h", "len").distinct(), size), ["h", "len"], "left_semi")
     found = found.groupBy(F.col("t.a").alias("ta"), F.col("t.b").alias("tb"), "pos", "len").agg(F.first("h").alias("h"))
     found = materialise(found, f"{path}/found")
     # Verify: the words of the texts with hits against the windows themselves. A text has one row
@@ -76,25 +78,35 @@ def hits(docs: DataFrame, bench: DataFrame, n: int = N, path: str | None = None)
     texts = texts.groupBy("ta", "tb").agg(F.first("s").alias("s"), F.first("at").alias("at"))
     w = texts.select("ta", "tb", "at", words(F.col("s")).alias("w"))
     w = w.select("ta", "tb", F.explode(F.transform("at", lambda x: F.struct(x.pos.alias("pos"), x.len.alias("len"), x.h.alias("h"), F.slice("w", x.pos + 1, x.len).alias("seen")))).alias("x")).select("ta", "tb", "x.*")
-    true = w.join(broadcast_within(grams.select("h", "len", "gram", "item_id"), size), ["h", "len"]).where("seen = gram")
-    true = true.groupBy("ta", "tb", "pos", "len").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    true = w.join(broadcast_within(windows, size), ["h", "len"]).where("seen = gram")
     covered = F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("pos"), F.col("pos") + F.col("len") - 1))))
-    per = true.groupBy("ta", "tb").agg(covered.alias("dc_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("dc_items"))
+    per = true.groupBy("ta", "tb").agg(covered.alias("dc_hit"), F.array_sort(F.collect_set("wid")).alias("wids"))
+    per = materialise(per.withColumns({"sa": F.xxhash64("wids"), "sb": F.xxhash64(F.lit(0x5EED), "wids")}), f"{path}/texts")
+    links = grams.join(broadcast_within(windows, size), ["len", "h", "gram"]).select("wid", "item_id")
+    sets = per.groupBy("sa", "sb").agg(F.first("wids").alias("wids")).select("sa", "sb", F.explode("wids").alias("wid")).join(links, "wid")
+    sets = sets.groupBy("sa", "sb").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("dc_items"))
+    sets = materialise(sets, f"{path}/sets")
+    items = sets.agg(F.coalesce(F.sum(F.size("dc_items") * 32 + 64), F.lit(0))).first()[0]
+    per = per.join(broadcast_within(sets, items), ["sa", "sb"], "left").select("ta", "tb", "dc_hit", F.coalesce("dc_items", F.array().cast("array<string>")).alias("dc_items"))
     per = materialise(per, f"{path}/hits")
+    for part in ("grams", "windows", "found", "texts", "sets"):
+        remove(spark, f"{path}/{part}")
     return per, per.agg(F.coalesce(F.sum(F.size("dc_hit") * 4 + F.size("dc_items") * 32 + 64), F.lit(0))).first()[0]
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, n: int = N) -> DataFrame:
     """The documents with dc_words, dc_hit (positions of hit words) and dc_items (ids as sorted strings)."""
     per, size = hits(docs, bench, n)
-    out = docs.withColumn("dc_t", digest128(F.coalesce("text", F.lit(""))))
-    out = out.join(broadcast_within(per, size), (F.col("dc_t.a") == per["ta"]) & (F.col("dc_t.b") == per["tb"]), "left")
+    t, ta, tb, hit, items = unused(docs, "dc_t", "ta", "tb", "dc_hit_of", "dc_items_of")
+    per = per.toDF(ta, tb, hit, items)
+    out = docs.withColumn(t, digest128(F.coalesce("text", F.lit(""))))
+    out = out.join(broadcast_within(per, size), (F.col(f"{t}.a") == F.col(ta)) & (F.col(f"{t}.b") == F.col(tb)), "left")
     none = F.array()
     return out.select(
-        *(docs[c] for c in docs.columns),
+        *others(docs, ["dc_words", "dc_hit", "dc_items"]),
         F.size(words(docs["text"])).cast("long").alias("dc_words"),
-        F.coalesce(per["dc_hit"], none.cast("array<int>")).alias("dc_hit"),
-        F.coalesce(per["dc_items"], none.cast("array<string>")).alias("dc_items"),
+        F.coalesce(F.col(hit), none.cast("array<int>")).alias("dc_hit"),
+        F.coalesce(F.col(items), none.cast("array<string>")).alias("dc_items"),
     )
 
 
