@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semlake.llm.bytewords import ASCII_LOWER, IS_WHITE, mix, slices, word_hashes, words
-from semlake.llm.common import broadcast_within, hold_only, map_batches, materialise, scratch, ship, table
+from semlake.llm.common import broadcast_within, hold_only, map_batches, materialise, remove, scratch, ship, table, unused
 from semlake.llm.components import components
 
 WORDS, PERCENT, OP2_PERCENT = 5, 80, 85
@@ -216,9 +216,10 @@ def near_links(docs: DataFrame, held: DataFrame, path: str, percent: int) -> Dat
     rows = held.where(F.col("doc_id") == F.col("nd_rep")).select(F.col("nd_rep").alias("node"), F.explode("nd_bands").alias("bh"))
     # A repeated row counts once more here, which only costs work.
     seen = rows.groupBy("bh").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("n")).where("hub <> last").drop("last")
-    # Written first: a join of two plain exchanges can be split where a bucket is hot.
+    # Written first: where it is small enough the rows stay where they are, else a join of two plain exchanges can be
+    # split where a bucket is hot.
     seen = materialise(seen, f"{path}/seen")
-    multi = materialise(rows.join(seen, "bh"), f"{path}/buckets")
+    multi = materialise(rows.join(broadcast_within(seen, seen.count() * 32), "bh"), f"{path}/buckets")
     star = materialise(multi.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), f"{path}/star")
     nodes = star.select(F.col("u").alias("node")).union(star.select(F.col("v").alias("node"))).distinct()
     sets = materialise(sets_of(docs, nodes, nodes.count()), f"{path}/sets")
@@ -228,16 +229,20 @@ def near_links(docs: DataFrame, held: DataFrame, path: str, percent: int) -> Dat
     # Buckets of three or more that span components: their other pairs, in blocks.
     more = multi.where("n > 2").join(first, "node", "left").select("bh", "node", "n", F.coalesce("component", "node").alias("c"))
     open_ = more.groupBy("bh").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("bh")
-    more = more.join(open_, "bh", "left_semi").join(sets, "node")
+    open_ = materialise(open_, f"{path}/open-buckets")
+    more = more.join(broadcast_within(open_, open_.count() * 16), "bh", "left_semi").join(sets, "node")
     more = materialise(more, f"{path}/open")
     total = more.groupBy("bh").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("s")) / BLOCK_BYTES)).cast("int").alias("k"))
-    more = more.join(total, "bh").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    total = materialise(total, f"{path}/blocks")
+    more = more.join(broadcast_within(total, total.count() * 24), "bh").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     more = more.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     more = more.withColumns({"x": F.least("i", "j"), "y": F.greatest("i", "j")})
     extra = materialise(compare_blocks(more, percent), f"{path}/extra")
-    if extra.isEmpty():
-        return first
-    return materialise(components(links.union(extra), f"{path}/second"), f"{path}/second-components")
+    if not extra.isEmpty():
+        first = materialise(components(links.union(extra), f"{path}/second"), f"{path}/second-components")
+    for part in ("seen", "buckets", "star", "sets", "links", "first", "open-buckets", "open", "blocks", "extra", "second"):
+        remove(docs.sparkSession, f"{path}/{part}")
+    return first
 
 
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -251,6 +256,8 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # Null doc_ids keep a null representative, and so stay out of the buckets.
     rep = F.when(F.col("doc_id").isNotNull(), F.coalesce("nd_least", "doc_id"))
     held = materialise(held.join(broadcast_within(least, least.count() * 48), ["nd_a", "nd_b"], "left").select("doc_id", "nd_n", "nd_bands", rep.alias("nd_rep")), f"{path}/reps")
+    for part in ("sketches", "least"):
+        remove(docs.sparkSession, f"{path}/{part}")
     found = near_links(docs, held, path, percent)
     out = held.join(broadcast_within(found, found.count() * 32), F.col("nd_rep") == F.col("node"), "left")
     return out.select("doc_id", F.col("nd_n").alias("nd_shingles"), F.coalesce("component", "nd_rep").alias("nd_component"))
@@ -258,8 +265,9 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents without those that are in a class with a lesser doc_id."""
-    gone = materialise(classes(docs, percent).where("doc_id <> nd_component").select(F.col("doc_id").alias("nd_gone")).distinct(), scratch(docs.sparkSession))
-    return docs.join(broadcast_within(gone, gone.count() * 16), F.col("doc_id") == F.col("nd_gone"), "left_anti")
+    (name,) = unused(docs, "nd_gone")
+    gone = materialise(classes(docs, percent).where("doc_id <> nd_component").select(F.col("doc_id").alias(name)).distinct(), scratch(docs.sparkSession))
+    return docs.join(broadcast_within(gone, gone.count() * 16), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
