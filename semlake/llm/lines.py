@@ -14,7 +14,8 @@ Defined results: null or empty text is one empty line; a key is the line without
 white space at both ends and with A-Z lower-cased; blank keys never count; a line
 repeated inside a document counts that document once; repeated rows count as
 documents of their own; null doc_ids are kept as they are; empty tables give empty
-results; other columns of the input are carried through untouched.
+results; other columns of the input are carried through untouched, but for those named like
+the new ones, which are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semlake.llm.common import WHITE, ascii_lower, broadcast_within, digest128, materialise, remove, scratch, sha256_hex
+from semlake.llm.common import WHITE, ascii_lower, broadcast_within, digest128, materialise, others, remove, scratch, sha256_hex, unused
 
 MIN_DOCS, MIN_CHARS, BATCHES, FANOUT = 10, 1, 4, 4
 
@@ -121,22 +122,28 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHE
     """The documents with the columns ll_lines (lines before), ll_dropped and ll_text (the rest)."""
     path = scratch(docs.sparkSession)
     frequent = materialise(frequent_lines(docs, min_docs, batches, path), f"{path}/frequent")
+    for part in ("counted", "runs"):
+        remove(docs.sparkSession, f"{path}/{part}")
     rows = frequent.count()
     # One row per distinct text that loses lines, with their positions: copies meet here once.
     spot = docs.select(digest128(F.coalesce("text", F.lit(""))).alias("t"), F.posexplode(F.transform(line_keys(F.col("text")), _hash)).alias("pos", "h"))
     spot = spot.where("h is not null").select(F.col("t.a").alias("ll_ta"), F.col("t.b").alias("ll_tb"), "pos", "h.a", "h.b")
     spot = spot.join(broadcast_within(frequent, rows * 64), ["a", "b"], "left_semi")
     spot = materialise(spot.groupBy("ll_ta", "ll_tb").agg(F.collect_set("pos").alias("ll_pos")), f"{path}/spots")
+    remove(docs.sparkSession, f"{path}/frequent")
     held = spot.agg(F.coalesce(F.sum(F.size("ll_pos") * 8 + 64), F.lit(0))).first()[0]
     text = F.coalesce("text", F.lit(""))
-    out = docs.withColumns({"ll_t": digest128(text), "ll_all": lines_of(F.col("text"))})
-    out = out.join(broadcast_within(spot, held), (F.col("ll_t.a") == F.col("ll_ta")) & (F.col("ll_t.b") == F.col("ll_tb")), "left")
-    stay = F.array_except(F.sequence(F.lit(0), F.size("ll_all") - 1), F.col("ll_pos"))
-    kept = F.when(F.col("ll_pos").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get("ll_all", i)), "\n"))
+    new = ["ll_lines", "ll_dropped", "ll_text"]
+    t, every, ta, tb, at = unused(docs, "ll_t", "ll_all", "ll_ta", "ll_tb", "ll_pos")
+    out = docs.withColumns({t: digest128(text), every: lines_of(F.col("text"))})
+    spot = spot.toDF(ta, tb, at)
+    out = out.join(broadcast_within(spot, held), (F.col(f"{t}.a") == F.col(ta)) & (F.col(f"{t}.b") == F.col(tb)), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col(at))
+    kept = F.when(F.col(at).isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(every, i)), "\n"))
     return out.select(
-        *(docs[c] for c in docs.columns),
-        F.size("ll_all").cast("long").alias("ll_lines"),
-        F.coalesce(F.size("ll_pos"), F.lit(0)).cast("long").alias("ll_dropped"),
+        *others(docs, new),
+        F.size(every).cast("long").alias("ll_lines"),
+        F.coalesce(F.size(at), F.lit(0)).cast("long").alias("ll_dropped"),
         kept.alias("ll_text"),
     )
 
