@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semlake.llm.common import sha256_hex, table
+from semlake.llm.common import sha256_hex, table, unused
 
 START, SEP, END = "<|start|>", "<|sep|>", "<|end|>"
 #: Control strings after their first character: this template's own and those of other templates.
@@ -130,15 +130,15 @@ def canonical_json(df: DataFrame, column: str = "json") -> DataFrame:
     where none fits or the JSON is malformed."""
     turns = F.lit(None).cast("array<struct<role:string,text:string>>")
     known = sorted(_mappings(LAYOUTS).values(), key=lambda m: (len(m[0]), m[1]))
-    names = [f"_layout_{i}" for i in range(len(known))]
-    out = df.withColumn("_paths", held_paths(F.col(column), sorted(set().union(*(m[0] for m in known)))))
+    held, *names = unused(df, "_paths", *(f"_layout_{i}" for i in range(len(known))))
+    out = df.withColumn(held, held_paths(F.col(column), sorted(set().union(*(m[0] for m in known)))))
     out = out.withColumns({n: F.from_json(F.col(column), m[1]) for n, m in zip(names, known, strict=True)})
-    own = F.substring(sha256_hex(F.array_join(F.array_sort("_paths"), "\n")), 1, 16)
+    own = F.substring(sha256_hex(F.array_join(F.array_sort(held), "\n")), 1, 16)
     for exact in (False, True):
         for n, (fields, _, sql) in zip(names, known, strict=True):
-            fits = own == fingerprint(fields) if exact else F.size(F.array_intersect("_paths", F.array(*map(F.lit, sorted(fields))))) == len(fields)
+            fits = own == fingerprint(fields) if exact else F.size(F.array_intersect(held, F.array(*map(F.lit, sorted(fields))))) == len(fields)
             turns = F.when(fits, F.expr(sql.replace("@", f"{n}."))).otherwise(turns)
-    return out.withColumn("turns", turns).drop("_paths", *names)
+    return out.withColumn("turns", turns).drop(held, *names)
 
 
 def turn_rows(df: DataFrame, key: str, order: str | None = None) -> DataFrame:

@@ -14,7 +14,8 @@ is bounded and falls back to the pre-tokens of the slice at hand.
 
 Defined results: null and empty texts have no pre-tokens and no tokens; n spaces in a row make n - 1
 pre-tokens that are just U+2581; very long texts and pre-tokens are counted whole; repeated rows
-are answered one by one; an empty table gives an empty result; other columns are carried through.
+are answered one by one; an empty table gives an empty result; other columns are carried through, but for those
+named like the new ones, which are replaced.
 """
 
 from __future__ import annotations

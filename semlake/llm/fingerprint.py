@@ -25,15 +25,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from semlake.llm.common import sha256_hex, table, white_words
+from semlake.llm.common import sha256_hex, table, unused, white_words
 
 K, WORDS = 128, 5
 _LONGS = "array<bigint>"
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str, k: int = K) -> DataFrame:
-    """The table with the fingerprint of the column text under that name."""
-    w, h, low = f"{name}_w", f"{name}_h", f"{name}_low"
+    """The table with the fingerprint of the column text under that name; a column that has it already is replaced."""
+    w, h, low, bound = unused(df, f"{name}_w", f"{name}_h", f"{name}_low", f"{name}_cut")
     n = F.size(w)
     runs = F.transform(F.sequence(F.lit(1), n - WORDS + 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(WORDS))))
     # Each step is used more than once by the next, so Spark keeps it as a column and computes it once.
@@ -41,11 +41,11 @@ def with_fingerprint(df: DataFrame, text: str, name: str, k: int = K) -> DataFra
     df = df.withColumn(h, F.when(n >= WORDS, runs).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast(_LONGS)))
     share = F.lit(1.5 * k + 30) / F.size(h)
     cut = F.when(share < 0.5, F.lit(-(2.0**63)) + F.lit(2.0**64) * share).otherwise(F.lit(2.0**63)).cast("bigint")
-    df = df.withColumn(f"{name}_cut", cut)
-    df = df.withColumn(low, F.array_distinct(F.filter(h, lambda x: x < F.col(f"{name}_cut"))))
+    df = df.withColumn(bound, cut)
+    df = df.withColumn(low, F.array_distinct(F.filter(h, lambda x: x < F.col(bound))))
     whole = F.sort_array(F.array_distinct(h))
     least = F.when(F.size(low) >= k, F.sort_array(low)).otherwise(whole)
-    return df.withColumn(name, F.slice(least, 1, k)).drop(w, h, low, f"{name}_cut")
+    return df.withColumn(name, F.slice(least, 1, k)).drop(w, h, low, bound)
 
 
 def merge(a: Column, b: Column, k: int = K) -> Column:

@@ -19,7 +19,7 @@ Characters without a piece become byte pieces, as the library does.
 
 Defined results: null text is empty and encodes to the end id alone; empty and very long
 texts are encoded whole; repeated rows are answered one by one; an empty table gives an
-empty result; other columns are carried through, also such as are named like the new ones, which then come last.
+empty result; other columns are carried through, but for those named like the new ones, which are replaced.
 """
 
 from __future__ import annotations
@@ -334,16 +334,15 @@ def encode_documents(docs: DataFrame, model: str | None = None, memory: int = ME
     """The documents with sp_ids (array<int>, the end id last) and sp_decoded. memory: words that a task remembers; less
     than for the query, as ids and texts leave through the same worker and earlier stages have filled the JVM."""
     model = model or default_model()
-    place = docs.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         coder = cached(BacktrackEncoder, model, memory)
-        for at, n in row_slices(batch.column(place), STEP_BYTES // 8):
+        for at, n in row_slices(batch.column("text"), STEP_BYTES // 8):
             part = batch.slice(at, n)
-            ids, bounds = coder.encode([t or "" for t in part.column(place).to_pylist()])
+            ids, bounds = coder.encode([t or "" for t in part.column("text").to_pylist()])
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
             more = [lists, pa.array([coder.decode(x) for x in lists.to_pylist()], pa.string())]
-            yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*batch.schema.names, "sp_ids", "sp_decoded"])
+            yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, "sp_ids", "sp_decoded"])
 
     return map_batches(docs, run, "sp_ids array<int>, sp_decoded string")
 

@@ -15,7 +15,8 @@ Defined results: null and empty texts and texts without words get the score of t
 doc_id that is labelled more than once is toxic if any label says so; null labels and null doc_ids in labels
 are ignored; documents without a label are scored like others; with labels of one class only, or none, every score is the smoothed
 class share (toxic + 0.5) / (labels + 2); repeated rows are answered one by one; an empty table gives an
-empty result; other columns are carried through.
+empty result; other columns are carried through, but for those
+named like the new ones, which are replaced.
 """
 
 from __future__ import annotations
