@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from semlake.llm import decontaminate as bench
 from semlake.llm import lines, neardup, pieces, toxicity
-from semlake.llm.common import materialise, scratch, table
+from semlake.llm.common import materialise, remove, scratch, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,4 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), scratch(spark)
     for i, (_, stage) in enumerate(STAGES):
         docs = materialise(stage(spark, docs, sf_dir), f"{path}/{i}")
+        if i:  # nothing reads it any more
+            remove(spark, f"{path}/{i - 1}")
     return docs
