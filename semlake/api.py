@@ -25,12 +25,22 @@ class Domain:
     keys: DataFrame | None = None
 
 
+    @classmethod
+    def tagged(cls, tag: int, keys: DataFrame | None = None) -> Domain:
+        """By number, as callers over the wire send it: 0 context, 1 extended, 2 restricted."""
+        return cls(("context", "extended", "restricted")[tag], keys)
+
+
 @dataclass
 class Answer:
     results: DataFrame  # key, kind, name, interpretation, score
     total: int
     warnings: list[str]
 
+    def pairs(self) -> list[tuple[float, tuple[int, str]]]:
+        """(score, (kind, name)) of the results, at most k of them, best first."""
+        return [(r["score"], (r["kind"], r["name"])) for r in self.results.select("score", "kind", "name", "key").orderBy(F.desc("score"), "key").collect()]
+
 
 class Searcher:
     """records and vectors as in schemas; candidates (key, kind, name, module, is_local, ord)."""

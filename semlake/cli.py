@@ -95,6 +95,10 @@ def pull(store: Store, args) -> int:
     manifest = store.manifest(args.path)
     snapshot.check_manifest(manifest)
     recs, vecs, stat, _ = tables(store)
+    if "vectors" in manifest["entries"]:
+        incoming = store.spark.read.parquet(f"{args.path}/vectors")
+        for model, n in incoming.groupBy("model").agg(F.min(F.size("q")).alias("n")).collect():  # one row a model
+            snapshot.check_vectors(incoming.where(F.col("model") == model), n)
     for name, mine, on, finished in (("vectors", vecs, ["model", "key"], None), ("records", recs, ["key"], None), ("module_status", stat, ["key"], "finished")):
         if name in manifest["entries"]:
             merged = snapshot.merge(mine, store.spark.read.parquet(f"{args.path}/{name}").select(mine.columns), on, finished)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semlake.schemas import EXPERIENCE, KINDS, RULE_KINDS
@@ -227,31 +227,48 @@ def dependencies(*parts: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts]))))
 
 
-def shrinker(pieces, limit: int, for_goal: bool = True):
-    """A pandas UDF that brings texts within a token limit. pieces: str -> list of str that concatenate to it.
-
-    Of a goal, lines go from the front until the rest fits; headings (###) and blank lines stay. A fact, or a goal
-    that still does not fit, is cut after the limit."""
-    def shrink(statement: str | None) -> str | None:
-        if statement is None:
-            return None
-        left = len(pieces(statement))
-        if left <= limit:
-            return statement
-        if for_goal:
-            lines, kept = statement.split("\n"), []
-            for i, line in enumerate(lines):
-                if line and not line.startswith("###"):
-                    left -= len(pieces(line))
-                    if left <= limit:
-                        return "\n".join(kept + lines[i + 1 :])
-                else:
-                    kept.append(line)
-        return "".join(pieces(statement)[:limit])
+def token_counts(pieces):
+    """A pandas UDF: the number of tokens of each string of an array. pieces: str -> list of str that concatenate to it."""
+
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda xs: None if xs is None else [len(pieces(x)) for x in xs])
+
+    return run
+
+
+def first_tokens(pieces, limit: int):
+    """A pandas UDF: a text cut after the limit."""
 
     @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(shrink)
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else "".join(pieces(x)[:limit]))
 
-    run.plain = shrink
     return run
+
+
+def shrink(df: DataFrame, column: str, pieces, limit: int, for_goal: bool = True, out: str = "shrunk") -> DataFrame:
+    """The table with the text within a token limit, under ``out``.
+
+    Of a goal, lines go from the front until the rest fits, blank lines and headings (###) stay; a fact, or a goal
+    that still does not fit, is cut after the limit. The tokenizer counts once for each row; which lines go follows in
+    columns, from the running sum of what was dropped."""
+    held = F.col("_counted")
+    df = df.withColumn("_lines", F.split(column, "\n", -1))
+    # The whole text is counted along with its lines, in one call.
+    df = df.withColumn("_counted", token_counts(pieces)(F.concat(F.array(column), F.col("_lines"))))
+    total = F.element_at(held, 1)
+    state = lambda left, done, kept: F.struct(left.alias("left"), done.alias("done"), kept.alias("kept"))
+    start = state(total, F.lit(False), F.array().cast("array<string>"))
+
+    def step(s: Column, x: Column) -> Column:
+        goes = ~s["done"] & (x["line"] != "") & ~x["line"].startswith("###")
+        left = F.when(goes, s["left"] - x["n"]).otherwise(s["left"])
+        return state(left, s["done"] | (goes & (left <= limit)), F.when(goes, s["kept"]).otherwise(F.concat(s["kept"], F.array(x["line"]))))
+
+    lines = F.arrays_zip(F.col("_lines").alias("line"), F.slice(held, F.lit(2), F.size("_lines")).alias("n"))
+    end = F.aggregate(lines, start, step)
+    shorter = F.when(end["done"], F.array_join(end["kept"], "\n")) if for_goal else F.lit(None).cast("string")
+    df = df.withColumn(out, F.when(F.col(column).isNull() | (total <= limit), F.col(column)).otherwise(shorter))
+    cut = first_tokens(pieces, limit)(F.when(F.col(out).isNull(), F.col(column)))
+    return df.withColumn(out, F.coalesce(out, cut)).drop("_lines", "_counted")

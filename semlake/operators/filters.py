@@ -107,3 +107,10 @@ def right_length(vector: Column, dimension: int) -> Column:
 def update_due(auto: Column, last: Column, now: Column, interval_s: int, etag: Column, remote: Column) -> Column:
     due = F.coalesce(F.unix_timestamp(now) - F.unix_timestamp(last) >= interval_s, F.lit(True))
     return auto & due & ~etag.eqNullSafe(remote)
+
+
+def tool_decision(tool: Column, allowed: Sequence[str]) -> Column:
+    """allow or deny with a reason; a call without a name is denied."""
+    ok = F.coalesce(tool.isin(*allowed), F.lit(False)) if allowed else F.lit(False)
+    reason = F.when(~ok, F.concat(F.lit("tool not allowed: "), F.coalesce(tool, F.lit("(none)"))))
+    return F.struct(F.when(ok, "allow").otherwise("deny").alias("decision"), reason.alias("reason"))

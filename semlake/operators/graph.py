@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,3 +97,18 @@ def usage(costs: DataFrame, nodes: DataFrame) -> DataFrame:
     return costs.join(nodes.select("node"), "node", "left_semi").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in costs.columns if c != "node"])
 
 
+def complete(edges: DataFrame, cone_: DataFrame, finished: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Do the work of a cone level by level, parents first, and return what it cost, (node, counters..).
+
+    Finished nodes are relays: they are not worked on again, but those below them still wait for those above. work gets the
+    nodes of a level and returns (node, ok, counters..); if one is not ok the run ends with an error and no later level is begun."""
+    spark, path = edges.sparkSession, checkpoint_path(edges.sparkSession)
+    todo = cut(cone_.select("node").join(finished.select("node"), "node", "left_anti"), f"{path}/todo")
+    order = cut(levels(contract(edges, todo), todo), f"{path}/order")
+    done = []
+    for level in range((order.agg(F.max("level")).first()[0] if not order.isEmpty() else -1) + 1):
+        made = cut(work(order.where(F.col("level") == level).select("node")), f"{path}/level-{level}")
+        if (bad := made.where(~F.coalesce("ok", F.lit(False))).orderBy("node").select("node").first()) is not None:
+            raise RuntimeError(f"failed at node {bad[0]!r}; later levels are not begun")
+        done.append(made.drop("ok"))
+    return functools.reduce(DataFrame.unionByName, done) if done else todo

@@ -39,10 +39,10 @@ def replayed(entries: DataFrame, replay: DataFrame) -> DataFrame:
     """Entries (name, digest) matched with replayed facts (template, suffix, digest) by digest; those whose name ends
     in the suffix come first; an entry is dropped when no match of its digest is confirmed by a name."""
     both = entries.join(replay, "digest").withColumn("confirmed", F.col("name").endswith(F.col("suffix")).cast("int"))
-    any_ = F.max("confirmed").over(W.partitionBy("digest"))
-    both = both.withColumn("any", any_).where("any = 1")
+    any_ = both.where("confirmed = 1").select("digest").distinct()
+    both = both.join(any_, "digest", "left_semi")
     order = W.partitionBy("name").orderBy(F.desc("confirmed"), F.desc(F.length("suffix")), "template")
-    return both.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n", "any")
+    return both.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
 def staged_lookup(wanted: DataFrame, by_key: DataFrame, by_base: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from semlake.operators.common import checkpoint_path, cut, small
+
 DECAY = 0.62
 
 
@@ -32,16 +34,32 @@ def newest(df: DataFrame, name: str, value: str, ts: str, where: Column) -> Data
     return df.where(where).groupBy(name).agg(F.max_by(value, ts).alias(value), F.max(ts).alias(ts))
 
 
+def _running(df: DataFrame, value: Column, by: list[str], order: tuple, out: str) -> DataFrame:
+    """The running sum of value within each group, in order. A group may hold most of the rows: rows are dealt into ranges of
+    (group, order), each range sums its own part of a group, and the sums of the parts before it are added."""
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = df.withColumn("_value", value).repartitionByRange(ranges, *by, *order).withColumn("_part", F.spark_partition_id())
+    laid = cut(laid, checkpoint_path(spark))  # written, so that rows keep their ranges
+    parts = laid.groupBy(*by, "_part").agg(F.sum("_value").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_at"), before.alias("_before"))
+    same = F.col("_part") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    own = F.sum("_value").over(W.partitionBy(*by, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return laid.join(small(parts), same).withColumn(out, own + F.col("_before")).select(*df.columns, out)
+
+
 def batches(df: DataFrame, size: int, by: str | list[str], *order) -> DataFrame:
     """Batch numbers from 0 within each group."""
-    w = W.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(*order)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    out = _running(df, F.lit(1), [by] if isinstance(by, str) else by, order, "batch")
+    return out.withColumn("batch", F.floor((F.col("batch") - 1) / size))
 
 
 def within_budget(df: DataFrame, cost: str, limit: int, by: str | list[str], *order) -> DataFrame:
     """The leading rows of each group while their running cost is within the limit."""
-    w = W.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= limit)
+    return _running(df, F.col(cost), [by] if isinstance(by, str) else by, order, "spent").where(F.col("spent") <= limit)
 
 
 def trim_context(df: DataFrame, key: str, context: str, statement: str, tokens, limit: int, for_goal: bool = True) -> DataFrame:

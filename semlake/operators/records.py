@@ -22,7 +22,9 @@ def get(df: DataFrame, key: bytes) -> DataFrame:
 
 def get_many(df: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows aligned with wanted (pos, key); columns are null where a key is missing."""
-    return small(wanted).join(df, "key", "left").orderBy("pos")
+    # A left join can't broadcast its left side: the few rows that are wanted are fetched first, and then aligned.
+    found = df.join(small(wanted.select("key").distinct()), "key", "left_semi")
+    return wanted.join(small(found), "key", "left").orderBy("pos")
 
 
 def contains(df: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -114,10 +116,17 @@ def copy_prefix(df: DataFrame, old: bytes, new: bytes) -> DataFrame:
     return upsert(df, moved.withColumn("key", keys.with_prefix(F.col("key"), F.lit(new))))
 
 
-def rekey_constituent(records: DataFrame, old: bytes, new: bytes) -> DataFrame:
+def rekey_constituent(records: DataFrame, old: bytes, new: bytes, indexed: DataFrame | None = None) -> DataFrame:
     """(old_key, ..record under its new key) of the records that mention the old hash: the hash is
-    swapped and the XOR prefix computed again. A record without constituents raises an error."""
-    mentions = records.where(F.exists("constituents", lambda c: c["hash"] == F.lit(old)))
+    swapped and the XOR prefix computed again. With the index (hash, key) only records listed there under the old hash are taken, and one of
+    them without constituents raises an error; without it such records mention nothing."""
+    holds = F.exists("constituents", lambda c: c["hash"] == F.lit(old))
+    if indexed is not None:
+        listed = indexed.where(F.col("hash") == F.lit(old)).select("key")
+        records = records.join(small(listed), "key", "left_semi")
+        legacy = F.raise_error(F.concat(F.lit("a record has no constituents, migrate it first: "), F.hex("key"))).cast("boolean")
+        holds = F.when(F.col("constituents").isNull(), legacy).otherwise(holds)
+    mentions = records.where(holds)
     swap = F.transform("constituents", lambda c: F.struct(c["name"].alias("name"), F.when(c["hash"] == F.lit(old), F.lit(new)).otherwise(c["hash"]).alias("hash")))
     out = mentions.withColumn("old_key", F.col("key")).withColumn("constituents", swap)
     prefix = keys.xor_prefix(F.transform("constituents", lambda c: c["hash"]))

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from semlake.functions import q15
-from semlake.operators.common import small
+from semlake.operators.common import checkpoint_path, ship, small
 
 BOOST = 0.25
+#: Queries that are sent to the tasks at once, and vectors that meet a query at once.
+QUERY_ROWS, VECTOR_ROWS = 4096, 8192
 
 
 def _none(df: DataFrame) -> DataFrame:
@@ -48,13 +53,44 @@ def top_k_per(df: DataFrame, by: str | list[str], k: int, key: str) -> DataFrame
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _best_of_block(batches: Iterator[pa.RecordBatch], ids: list, queries: np.ndarray, k: int, key: str, vector: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The k best vectors of a partition for each query of a block, by (raw desc, key)."""
+    best: list[list[tuple]] = [[] for _ in ids]
+    for batch in batches:
+        for at in range(0, batch.num_rows, VECTOR_ROWS):
+            part = batch.slice(at, VECTOR_ROWS)
+            held = part.column(vector)
+            v = held.flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(len(held), -1)
+            for i, q in enumerate(queries):
+                raw = ((v * q + 16384) >> 15).sum(1, dtype=np.int64)
+                least = np.partition(raw, -k)[-k] if len(raw) > k else raw.min()
+                hits = np.flatnonzero(raw >= (max(least, best[i][-1][0]) if len(best[i]) == k else least))
+                if len(hits):
+                    new = zip(raw[hits].tolist(), part.column(key).take(pa.array(hits)).to_pylist(), strict=True)
+                    best[i] = sorted([*best[i], *new], key=lambda x: (-x[0], x[1]))[:k]
+    rows = [(ids[i], raw, x) for i, found in enumerate(best) for raw, x in found]
+    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows]) if rows else pa.array([], pa.int64()) for j in range(3)], names=names)
+
+
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, vector: str = "q", query_vector: str = "qv") -> DataFrame:
-    """Top-k for a stated set of queries. The queries go to all tasks as one array (bounded by the
-    caller), every vector is read once, and tasks keep k rows of each query before the shuffle."""
-    held = queries.agg(F.collect_list(F.struct(query_key, query_vector)).alias("queries"))
-    each = vectors.crossJoin(F.broadcast(held)).select(key, vector, F.explode("queries").alias("x"))
-    each = each.select(key, F.col(f"x.{query_key}").alias(query_key), q15.dot(F.col(vector), F.col(f"x.{query_vector}")).alias("raw"))
-    return top_k_per(each, query_key, k, key).withColumn("score", q15.recover_cos(F.col("raw")))
+    """Top-k for a stated set of queries, exact, in blocks of at most QUERY_ROWS queries: each block is sent to the tasks, meets every
+    vector once, and k rows of each query leave a task. Vectors of another length than the queries must be gone."""
+    spark = vectors.sparkSession
+    ship(spark)
+    blocks = max(1, -(-queries.count() // QUERY_ROWS))
+    kinds = {f.name: f.dataType.simpleString() for f in (*vectors.schema.fields, *queries.schema.fields)}
+    names = [query_key, "raw", key]
+    schema = f"`{query_key}` {kinds[query_key]}, raw bigint, `{key}` {kinds[key]}"
+    dealt = queries.select(query_key, query_vector, F.pmod(F.xxhash64(query_key), F.lit(blocks)).alias("block"))
+    held = vectors.select(key, vector).where(F.col(vector).isNotNull())
+    path = checkpoint_path(spark)
+    for i in range(blocks):
+        some = dealt.where(F.col("block") == i).select(query_key, query_vector).collect()  # about QUERY_ROWS rows
+        ids, block = [r[0] for r in some], np.array([r[1] for r in some], np.int32)
+        run = functools.partial(_best_of_block, ids=ids, queries=block, k=k, key=key, vector=vector, names=names)
+        held.mapInArrow(run, schema).write.mode("append").parquet(path)
+    found = spark.read.schema(schema).parquet(path)
+    return top_k_per(found, query_key, k, key).withColumn("score", q15.recover_cos(F.col("raw")))
 
 
 def boosted(score: Column, hit: Column, patterns: int) -> Column:
@@ -88,9 +124,13 @@ def without_shown_faces(extras: DataFrame, present: DataFrame, theorem_kind: int
 
 def resolved(top: DataFrame, records: DataFrame, live: DataFrame | None = None) -> DataFrame:
     """Names of the ranked keys, joined after the ranking: the live name wins, keys without any name are dropped."""
-    out = small(top).join(records.select("key", F.col("name").alias("stored_name"), "interpretation"), "key", "left")
+    # A left join can't broadcast its left side: the few rows that were ranked are fetched first.
+    ranked = small(top.select("key").distinct())
+    stored = records.join(ranked, "key", "left_semi").select("key", F.col("name").alias("stored_name"), "interpretation")
+    out = top.join(small(stored), "key", "left")
     if live is not None:
-        out = out.join(live.select("key", F.col("name").alias("live_name")), "key", "left")
+        named = live.join(ranked, "key", "left_semi").select("key", F.col("name").alias("live_name"))
+        out = out.join(small(named), "key", "left")
     else:
         out = out.withColumn("live_name", F.lit(None).cast("string"))
     return out.withColumn("name", F.coalesce("live_name", "stored_name")).where(F.col("name").isNotNull()).drop("live_name", "stored_name")

@@ -1,6 +1,6 @@
 """The query catalogue: name -> callable, and name -> DuckDB SQL."""
 
-from semlake.plans import maintenance, ordered, texts, vectors
+from semlake.plans import maintenance, ordered, stores, texts, vectors
 
-QUERIES: dict = {**vectors.QUERIES, **texts.QUERIES, **ordered.QUERIES, **maintenance.QUERIES}
-ORACLES: dict = {**vectors.ORACLES, **texts.ORACLES, **ordered.ORACLES, **maintenance.ORACLES}
+QUERIES: dict = {**vectors.QUERIES, **texts.QUERIES, **ordered.QUERIES, **maintenance.QUERIES, **stores.QUERIES}
+ORACLES: dict = {**vectors.ORACLES, **texts.ORACLES, **ordered.ORACLES, **maintenance.ORACLES, **stores.ORACLES}

@@ -20,9 +20,9 @@ def running_budget(spark, sf_dir):
 
 
 def trim_context(spark, sf_dir):
-    """Lines of a conversation as segments before its first text, within 400 characters."""
-    conv = table(spark, sf_dir, "conversations").where("turn < 4")
-    seg = F.concat(F.when(F.col("turn") % 3 == 0, "theory ").when(F.col("turn") % 3 == 1, "fact ").otherwise("notation "), F.replace(F.substring("text", 1, 120), F.lit("\n"), F.lit(" ")))
+    """The turns of a conversation as segments before its statement, within 400 characters."""
+    conv = table(spark, sf_dir, "conversations")
+    seg = F.concat(F.when(F.col("turn") % 3 == 0, "theory ").when(F.col("turn") % 3 == 1, "fact ").otherwise("notation "), F.replace("text", F.lit("\n"), F.lit(" ")))
     one = conv.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", seg.alias("s")))), lambda x: x.s), "\n\n\n").alias("ctx"))
     one = one.withColumn("stmt", F.lit("goal"))
     return rank.trim_context(one, "conv_id", "ctx", "stmt", F.length, 400)
@@ -60,27 +60,10 @@ def unknown_labels(spark, sf_dir):
 
 
 def not_unique(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").select("source", "lang", F.substring("text", 1, 3).alias("name"))
+    df = table(spark, sf_dir, "documents").select("source", "lang", F.md5("text").alias("name"))
     return rank.duplicates(df, ["source", "lang", "name"])
 
 
-def module_report(spark, sf_dir):
-    """Sources with documents, labels and sums: full outer over both, nulls as zero."""
-    docs = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("entities"), F.sum("n_chars").cast("bigint").alias("chars"))
-    status = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count_if(F.col("quality") == 1).alias("finished"), F.count_if(F.col("toxic") == 1).alias("infra"))
-    more = spark.createDataFrame([("src0", "first"), ("srcX", "empty")], "source string, title string")
-    out = docs.join(status, "source", "full").join(more, "source", "full")
-    return out.select(F.coalesce("title", "source").alias("name"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("entities", "chars", "finished", "infra")])
-
-
-def cost_ledger(spark, sf_dir):
-    ev = table(spark, sf_dir, "events")
-    out = ev.groupBy(F.col("user_id").alias("key")).agg(
-        F.count("*").alias("n"), F.sum((F.col("value") * 100).cast("bigint")).alias("cents"),
-        F.max_by("event_type", F.struct("ts", "event_id")).alias("model"), F.bool_or(F.col("event_type") == "purchase").alias("finished"))
-    return out
-
-
 def usage_by_type(spark, sf_dir):
     ev = table(spark, sf_dir, "events").withColumn("cents", (F.col("value") * 100).cast("bigint")).withColumn("n", F.lit(1))
     return report.usage(ev, ["event_type"], ["cents", "n"]).select("event_type", F.col("cents").cast("bigint").alias("cents"), F.col("n").cast("bigint").alias("n"))
@@ -115,7 +98,7 @@ def new_members(spark, sf_dir):
 
 def span_lookup(spark, sf_dir):
     """Offsets of events within the span of an order's price, per status."""
-    spans = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderstatus").alias("node"), F.col("o_orderkey").alias("command"), (F.col("o_orderkey") * 10).alias("start"), (F.col("o_orderkey") * 10 + 100).alias("end"))
+    spans = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("node"), F.col("o_orderkey").alias("command"), (F.col("o_orderkey") * 10).alias("start"), (F.col("o_orderkey") * 10 + 8).alias("end"))
     at = table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(F.lit("F"), F.lit("O"), F.lit("P")), (F.col("event_id") % 3 + 1).cast("int")).alias("node"), (F.col("event_id") * 5).alias("off"))
     return joins.span_at(at, spans, "node").where("command is not null").select("event_id", "command")
 
@@ -124,21 +107,21 @@ def staged_names(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(F.replace("p_name", F.lit(" "), F.lit(".")).alias("name"), F.col("p_partkey").alias("target"))
     parts = parts.groupBy("name").agg(F.min("target").alias("target"))
     by_base = parts.select(F.element_at(F.split("name", r"\."), -1).alias("base"), "target")
-    wanted = parts.where("target % 10 = 0").select("name").unionByName(by_base.select(F.col("base").alias("name")).distinct())
+    wanted = parts.select("name").unionByName(by_base.select(F.col("base").alias("name")).distinct())
     return joins.staged_lookup(wanted.distinct(), parts, by_base)
 
 
 def explained_constants(spark, sf_dir):
-    """Suppliers of the first orders as constants with their names, without those seen before."""
-    terms = table(spark, sf_dir, "lineitem").where("l_orderkey < 200").groupBy(F.col("l_orderkey").alias("pos")).agg(F.array_sort(F.collect_list("l_suppkey")).alias("consts"))
+    """Suppliers of the orders as constants with their names, without those seen before."""
+    terms = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("pos")).agg(F.array_sort(F.collect_list("l_suppkey")).alias("consts"))
     known = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("name"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_name")).alias("interpretation"))
     seen = known.where("name % 5 = 0").select(F.col("name").alias("const"))
     return joins.explain_constants(terms, known, seen).select("const", "interpretation")
 
 
 def replay_match(spark, sf_dir):
-    entries = table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit("."), F.element_at(F.split("p_name", " "), -1)).alias("name"), (F.col("p_partkey") % 97).alias("digest"))
-    replay = table(spark, sf_dir, "part").where("p_partkey < 60").select(F.col("p_partkey").alias("template"), F.element_at(F.split("p_name", " "), -1).alias("suffix"), (F.col("p_partkey") % 97).alias("digest"))
+    entries = table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit("."), F.element_at(F.split("p_name", " "), -1)).alias("name"), F.floor(F.col("p_partkey") / 4).alias("digest"))
+    replay = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("template"), F.element_at(F.split("p_name", " "), -1).alias("suffix"), F.floor(F.col("p_partkey") / 4).alias("digest"))
     return joins.replayed(entries, replay).select("name", "digest", "template", "confirmed")
 
 
@@ -149,13 +132,6 @@ def availability_division(spark, sf_dir):
     return index.available(exp, loaded).select("key", F.size("constituents").cast("bigint").alias("n"))
 
 
-def posting_candidates(spark, sf_dir):
-    """Orders that mention one of three suppliers, from the posting lists."""
-    posting = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("hash"), F.col("l_orderkey").alias("key"))
-    loaded = spark.createDataFrame([(3,), (5,), (7,)], "hash bigint")
-    return posting.join(F.broadcast(loaded), "hash", "left_semi").select("key").distinct()
-
-
 def index_diff(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("key"))
     return index.difference(docs, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key")))
@@ -172,7 +148,7 @@ def point_gets(spark, sf_dir):
 ORACLES = {
     "batch_plan": "SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20 AS batch FROM documents",
     "running_budget": "SELECT doc_id, source, CAST(spent AS BIGINT) AS spent FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS spent FROM documents) WHERE spent <= 20000",
-    "trim_context": """WITH s AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'theory ' WHEN 1 THEN 'fact ' ELSE 'notation ' END || replace(substr(text, 1, 120), chr(10), ' ') || chr(10) || chr(10) AS p FROM conversations WHERE turn < 4),
+    "trim_context": """WITH s AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'theory ' WHEN 1 THEN 'fact ' ELSE 'notation ' END || replace(text, chr(10), ' ') || chr(10) || chr(10) AS p FROM conversations),
 r AS (SELECT *, 4 + sum(length(p)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS spent, CASE turn % 3 WHEN 0 THEN -1 WHEN 1 THEN 3 ELSE 0 END AS k FROM s)
 SELECT conv_id, coalesce(string_agg(p, '' ORDER BY k, turn) FILTER (WHERE spent <= 400), '') || 'goal' AS text FROM r GROUP BY conv_id""",
     "keep_first_dedup": "SELECT doc_id, source, text_md5 FROM (SELECT doc_id, source, md5(text) AS text_md5 FROM documents) QUALIFY row_number() OVER (PARTITION BY text_md5 ORDER BY source, doc_id) = 1",
@@ -183,30 +159,23 @@ a AS (SELECT *, coalesce(lag(head) OVER w = head AND lag(locale) OVER w = locale
 SELECT conv_id, turn, CASE WHEN again THEN '(same locale as above)' ELSE head END AS head, CASE WHEN NOT again THEN locale END AS locale FROM a""",
     "last_answer_wins": "SELECT conv_id, md5(arg_max(text, turn)) AS answer_md5 FROM conversations WHERE role = 'assistant' AND conv_id IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) GROUP BY conv_id",
     "unknown_labels": "SELECT DISTINCT conv_id FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)",
-    "not_unique": "SELECT source, lang, substr(text, 1, 3) AS name, count(*) AS n FROM documents GROUP BY 1, 2, 3 HAVING count(*) > 1",
-    "module_report": """WITH d AS (SELECT source, count(*) AS entities, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source),
-s AS (SELECT source, count(*) FILTER (WHERE quality = 1) AS finished, count(*) FILTER (WHERE toxic = 1) AS infra FROM labels JOIN documents USING (doc_id) GROUP BY source),
-m AS (SELECT * FROM (VALUES ('src0', 'first'), ('srcX', 'empty')) t(source, title))
-SELECT coalesce(title, source) AS name, coalesce(entities, 0) AS entities, coalesce(chars, 0) AS chars, coalesce(finished, 0) AS finished, coalesce(infra, 0) AS infra
-FROM d FULL JOIN s USING (source) FULL JOIN m USING (source)""",
-    "cost_ledger": "SELECT user_id AS key, count(*) AS n, CAST(sum(CAST(trunc(value * 100) AS BIGINT)) AS BIGINT) AS cents, arg_max(event_type, (ts, event_id)) AS model, bool_or(event_type = 'purchase') AS finished FROM events GROUP BY user_id",
+    "not_unique": "SELECT source, lang, md5(text) AS name, count(*) AS n FROM documents GROUP BY 1, 2, 3 HAVING count(*) > 1",
     "usage_by_type": "SELECT event_type, CAST(sum(CAST(trunc(value * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n FROM events GROUP BY event_type",
     "blocked_modules": """WITH m AS (SELECT source, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS name FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND source NOT IN ('src1', 'src2'))
 SELECT source, count(*) AS total, array_to_string(list_sort(list(name))[:10], ',') AS first, greatest(count(*) - 10, 0) AS more FROM m GROUP BY source""",
     "bucketed_names": "SELECT source AS module, lang AS kind, md5(array_to_string(list_sort(list(CAST(doc_id AS VARCHAR))), ',')) AS names_md5, count(*) AS n FROM documents GROUP BY 1, 2",
     "fact_indices": "SELECT l_orderkey, CAST(CASE WHEN count(*) OVER (PARTITION BY l_orderkey) = 1 THEN 0 ELSE row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) END AS INTEGER) AS index, CAST(l_linenumber AS INTEGER) AS line FROM lineitem",
     "new_members": "SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS collection, l_suppkey AS key FROM lineitem WHERE l_returnflag = 'R' AND (year(l_shipdate), l_suppkey) NOT IN (SELECT (year(l_shipdate), l_suppkey) FROM lineitem WHERE l_returnflag = 'A')",
-    "span_lookup": """SELECT event_id, o_orderkey AS command FROM events JOIN orders ON o_orderkey % 50 = 0 AND ['F', 'O', 'P'][CAST(event_id % 3 + 1 AS INTEGER)] = o_orderstatus
-  AND o_orderkey * 10 <= event_id * 5 AND event_id * 5 < o_orderkey * 10 + 100""",
+    "span_lookup": """SELECT event_id, o_orderkey AS command FROM events JOIN orders ON ['F', 'O', 'P'][CAST(event_id % 3 + 1 AS INTEGER)] = o_orderstatus
+  AND o_orderkey * 10 <= event_id * 5 AND event_id * 5 < o_orderkey * 10 + 8""",
     "staged_names": """WITH p AS (SELECT replace(p_name, ' ', '.') AS name, min(p_partkey) AS target FROM part GROUP BY 1), b AS (SELECT string_split(name, '.')[-1] AS base, target FROM p),
-u AS (SELECT base, min(target) AS t FROM b GROUP BY base HAVING count(*) = 1), w AS (SELECT name FROM p WHERE target % 10 = 0 UNION SELECT base FROM b)
+u AS (SELECT base, min(target) AS t FROM b GROUP BY base HAVING count(*) = 1), w AS (SELECT name FROM p UNION SELECT base FROM b)
 SELECT w.name, coalesce(p.target, u.t) AS target, CASE WHEN p.target IS NOT NULL THEN 'exact' WHEN u.t IS NOT NULL THEN 'base' ELSE 'none' END AS stage FROM w LEFT JOIN p ON p.name = w.name LEFT JOIN u ON u.base = w.name""",
-    "explained_constants": "SELECT DISTINCT s_suppkey AS const, s_name AS interpretation FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_orderkey < 200 AND s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0",
-    "replay_match": """WITH e AS (SELECT p_partkey || '.' || string_split(p_name, ' ')[-1] AS name, p_partkey % 97 AS digest FROM part), r AS (SELECT p_partkey AS template, string_split(p_name, ' ')[-1] AS suffix, p_partkey % 97 AS digest FROM part WHERE p_partkey < 60),
+    "explained_constants": "SELECT DISTINCT s_suppkey AS const, s_name AS interpretation FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0",
+    "replay_match": """WITH e AS (SELECT p_partkey || '.' || string_split(p_name, ' ')[-1] AS name, p_partkey // 4 AS digest FROM part), r AS (SELECT p_partkey AS template, string_split(p_name, ' ')[-1] AS suffix, p_partkey // 4 AS digest FROM part),
 b AS (SELECT name, e.digest, template, suffix, CAST(ends_with(name, suffix) AS INTEGER) AS confirmed FROM e JOIN r ON e.digest = r.digest), a AS (SELECT *, max(confirmed) OVER (PARTITION BY digest) AS x FROM b)
 SELECT name, digest, template, confirmed FROM a WHERE x = 1 QUALIFY row_number() OVER (PARTITION BY name ORDER BY confirmed DESC, length(suffix) DESC, template) = 1""",
     "availability_division": "SELECT l_orderkey AS key, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 4 <> 0))",
-    "posting_candidates": "SELECT DISTINCT l_orderkey AS key FROM lineitem WHERE l_suppkey IN (3, 5, 7)",
     "index_diff": """SELECT doc_id AS key, 'missing' AS side FROM documents WHERE doc_id % 2 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT DISTINCT doc_id, 'stale' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)""",
     "point_gets": "SELECT pos, k AS key, source, doc_id IS NOT NULL AS present FROM (VALUES (0, 7), (1, -5), (2, 3)) w(pos, k) LEFT JOIN documents ON doc_id = k",

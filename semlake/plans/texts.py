@@ -17,7 +17,7 @@ def document_text(spark, sf_dir):
     """Documents as records: doc_id % 4 = 0 are experiences whose patterns are their source and language; % 5 = 0 have no interpretation."""
     df = table(spark, sf_dir, "documents")
     kind = F.when(F.col("doc_id") % 4 == 0, 8).otherwise(1)
-    interpretation = F.when(F.col("doc_id") % 5 != 0, F.substring("text", 1, 200))
+    interpretation = F.when(F.col("doc_id") % 5 != 0, F.col("text"))
     patterns = F.when(F.col("doc_id") % 8 != 0, F.array("source", "lang"))
     expr = F.when(F.col("doc_id") % 3 == 0, text.truncate(F.col("text"))).otherwise(F.lit(""))
     out = text.document_text(kind, F.lit("constant"), F.col("source"), expr, interpretation, patterns)
@@ -125,7 +125,7 @@ ORACLES = {
     "document_text": """SELECT doc_id, CASE WHEN i IS NULL THEN NULL WHEN k = 8 THEN CASE WHEN doc_id % 8 <> 0 THEN
   'This is an experience that aims to help prove goals of the following forms:' || chr(10) || '- ' || source || chr(10) || '- ' || lang || chr(10) || 'The experience should be used in the following situation:' || chr(10) || i END
   ELSE 'constant ' || source || CASE WHEN e <> '' THEN ': ' || e ELSE '' END || chr(10) || i END AS document_text
-FROM (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 8 ELSE 1 END AS k, CASE WHEN doc_id % 5 <> 0 THEN substr(text, 1, 200) END AS i,
+FROM (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 8 ELSE 1 END AS k, CASE WHEN doc_id % 5 <> 0 THEN text END AS i,
   CASE WHEN doc_id % 3 = 0 THEN CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '…' ELSE text END ELSE '' END AS e FROM documents)""",
     "prompt_template": "SELECT item_id, 'Instruct: Given a question, retrieve relevant constants, theorems and inference rules' || chr(10) || 'Query: ' || text AS prompt, text AS plain FROM benchmark",
     "kinds_phrases": "SELECT source, CASE WHEN len(l) = 1 THEN l[1] ELSE array_to_string(l[:len(l) - 1], ', ') || ' and ' || l[len(l)] END AS phrase FROM (SELECT source, list_sort(list(DISTINCT lang)) AS l FROM documents GROUP BY source)",

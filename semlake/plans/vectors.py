@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from semlake.functions import q15
 from semlake.operators import rank, report, topk
+from semlake.sources.store import stored_once
 
 K, DIMENSION = 10, 64
 
@@ -16,8 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def store(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    """The table as a vector store: the vectors are quantized in the scan."""
-    return table(spark, sf_dir, "embeddings").select("vec_id", *more, q15.quantize(F.col("embedding")).alias("q"))
+    """The table's vectors in 16 bits, written once and then searched."""
+    raw = table(spark, sf_dir, "embeddings")
+    held = stored_once(raw, lambda df: df.select("vec_id", "label", q15.quantize(F.col("embedding")).cast("array<smallint>").alias("q")), "q15-1")
+    return held.select("vec_id", *more, "q")
 
 
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[int]:
@@ -87,7 +90,7 @@ def knn_batch(spark, sf_dir):
 def q15_encode(spark, sf_dir):
     df = store(spark, sf_dir)
     total = F.aggregate("q", F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return df.select("vec_id", F.element_at("q", 1).alias("first"), total.alias("total"), F.array_min("q").alias("least"), F.array_max("q").alias("most"))
+    return df.select("vec_id", F.element_at("q", 1).cast("int").alias("first"), total.alias("total"), F.array_min("q").cast("int").alias("least"), F.array_max("q").cast("int").alias("most"))
 
 
 def dequant_norm(spark, sf_dir):
@@ -113,7 +116,7 @@ def length_histogram(spark, sf_dir):
 
 def rank_fusion(spark, sf_dir):
     """A rank-weighted list (parts by retail size) and a similarity list, half and half."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vec_id")).where("vec_id < 500")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vec_id"))
     from pyspark.sql import Window as W
 
     # The first list: 50 keys by their last digits, weighted by rank.
@@ -157,7 +160,7 @@ SELECT query_id, vec_id, raw, round(greatest(-1.0, least(1.0, raw / (32768 * 0.9
     "unit_rows": "SELECT vec_id, round(CASE WHEN n = 0 THEN 0.0 ELSE sqrt(list_sum(list_transform(embedding, lambda x: (x::DOUBLE / n) * (x::DOUBLE / n)))) END, 6) AS norm FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)",
     "length_histogram": "SELECT CAST(len(embedding) AS BIGINT) AS length, count(*) AS n FROM embeddings GROUP BY 1",
     "rank_fusion": f"""WITH {_Q},
-a AS (SELECT p_partkey AS vec_id, pow(0.62, log2(row_number() OVER (ORDER BY p_partkey % 97, p_partkey))) AS score FROM part WHERE p_partkey < 500 ORDER BY p_partkey % 97, p_partkey LIMIT 50),
+a AS (SELECT p_partkey AS vec_id, pow(0.62, log2(row_number() OVER (ORDER BY p_partkey % 97, p_partkey))) AS score FROM part ORDER BY p_partkey % 97, p_partkey LIMIT 50),
 b AS (SELECT vec_id, raw / 32768.0::DOUBLE AS score FROM c ORDER BY raw DESC, vec_id LIMIT 50),
 m AS (SELECT vec_id, 0.5 * score / (SELECT avg(score) FROM a) AS p FROM a UNION ALL SELECT vec_id, 0.5 * score / (SELECT avg(score) FROM b) FROM b),
 t AS (SELECT vec_id, sum(p) AS score, 0 AS forced FROM m WHERE vec_id NOT IN (7, 8) GROUP BY vec_id UNION ALL SELECT 7, NULL, 1 UNION ALL SELECT 8, NULL, 1)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semlake.functions import q15, text
-from semlake.operators.common import ship
+from semlake.operators.common import checkpoint_path, cut, ship
 from semlake.schemas import ModelConfig
 
 
@@ -85,7 +85,8 @@ def fill_vectors(candidates: DataFrame, vectors: DataFrame, provider_: Provider,
     out = embed_texts(todo.select("key", "text"), "text", provider_)
     vec = q15.l2_normalize(F.col("vec")) if provider_.config.normalize else F.col("vec")
     q = F.transform(q15.quantize(vec), lambda x: x.cast("smallint"))
-    return out.select(F.lit(model).alias("model"), "key", q.alias("q"))
+    made = out.select(F.lit(model).alias("model"), "key", q.alias("q"))
+    return cut(made, checkpoint_path(candidates.sparkSession))  # written once: later actions read it and ask no service again
 
 
 def cached_embed(df: DataFrame, cache: DataFrame, provider_: Provider, now) -> tuple[DataFrame, DataFrame]:
@@ -95,10 +96,22 @@ def cached_embed(df: DataFrame, cache: DataFrame, provider_: Provider, now) -> t
     hit = df.join(live, "text")
     miss = df.join(live, "text", "left_anti")
     fresh = embed_texts(miss.select("text").distinct(), "text", provider_)
+    fresh = cut(fresh, checkpoint_path(df.sparkSession))  # written once, as both results need it
     made = miss.join(fresh, "text")
     return hit.unionByName(made), fresh.select(F.lit(model).alias("model"), "text", "vec")
 
 
+def premise_vectors(premises: DataFrame, cache: DataFrame, provider_: Provider) -> tuple[DataFrame, DataFrame]:
+    """(premises with vec, new cache rows) of premises (proposition, is_global): each proposition is embedded at most once; vectors
+    of global ones are kept for later batches, those of local ones serve this batch alone. cache (model, proposition, vec)."""
+    model = provider_.config.name
+    held = cache.where(F.col("model") == model).select("proposition", "vec")
+    new = premises.join(held.select("proposition"), "proposition", "left_anti").groupBy("proposition").agg(F.bool_or("is_global").alias("keep"))
+    made = cut(embed_texts(new, "proposition", provider_), checkpoint_path(premises.sparkSession))
+    every = held.unionByName(made.select("proposition", "vec"))
+    return premises.join(every, "proposition"), made.where("keep").select(F.lit(model).alias("model"), "proposition", "vec")
+
+
 class Reranker(ABC):
     @abstractmethod
     def scores(self, query: str, documents: list[str]) -> list[float]: ...

@@ -227,3 +227,126 @@ def test_search(spark, recs):
     assert ranked.results.count() == 3 and not ranked.warnings
     with_exp = search.lookup("prime", 40, [1, 8], cand, loaded=spark.createDataFrame([(bytearray(H1),)], "hash binary"))
     assert with_exp.total == 11
+
+
+def _counting(tmp_path):
+    """A provider that leaves one line per embedded text in a file."""
+    from semlake.providers import HashingProvider
+    from semlake.schemas import ModelConfig
+
+    class Counting(HashingProvider):
+        def embed(self, texts):
+            with open(tmp_path / "asked", "a") as f:
+                f.writelines(f"{t!r}\n" for t in texts)
+            return super().embed(texts)
+
+    return Counting(ModelConfig("count-16", 16)), lambda: (tmp_path / "asked").read_text().splitlines()
+
+
+def test_each_text_is_embedded_once(spark, tmp_path):
+    from semlake.providers import cached_embed, fill_vectors
+
+    provider, asked = _counting(tmp_path)
+    texts = spark.createDataFrame([(bytearray([i]), f"text {i}") for i in range(7)], "key binary, text string")
+    none = spark.createDataFrame([], "model string, key binary, q array<smallint>")
+    made = fill_vectors(texts, none, provider)
+    assert made.count() == made.count() == len(made.collect()) == 7
+    assert sorted(asked()) == sorted(repr(f"text {i}") for i in range(7))
+    cache = spark.createDataFrame([], "model string, text string, vec array<float>, expires_at timestamp")
+    every, fresh = cached_embed(spark.createDataFrame([("a",), ("b",), ("a",)], "text string"), cache, provider, dt.datetime(2024, 1, 1))
+    assert every.count() == 3 and fresh.count() == 2 and len(every.collect()) == 3
+    assert len(asked()) == 9
+
+
+def test_rekeying_refuses_legacy_records_of_the_index(spark):
+    rows = [(bytearray(b"k" * 16 + b"\x08" + bytes([i]) * 15), c) for i, c in enumerate(([("m", bytearray(H1))], None, None))]
+    df = spark.createDataFrame(rows, "key binary, constituents array<struct<name:string,hash:binary>>")
+    indexed = spark.createDataFrame([(bytearray(H1), r[0]) for r in rows[:2]], "hash binary, key binary")
+    assert records.rekey_constituent(df, H1, H2, indexed.limit(1)).count() == 1 == records.rekey_constituent(df, H1, H2).count()
+    with pytest.raises(Exception, match="no constituents"):
+        records.rekey_constituent(df, H1, H2, indexed).collect()
+
+
+def test_batch_search_in_blocks_equals_single_searches(spark, monkeypatch):
+    rnd = random.Random(3)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 3)
+    monkeypatch.setattr(topk, "VECTOR_ROWS", 5)
+    rows = [(i, [rnd.randint(-40, 40) * 700 for _ in range(4)]) for i in range(40)]
+    rows += [(40 + i, rows[i][1]) for i in range(10)]  # ties
+    df = spark.createDataFrame(rows, "id bigint, q array<int>").repartition(3)
+    queries = df.where("id % 7 = 0").select(F.col("id").alias("ask"), F.col("q").alias("qv"))
+    got = {(r.ask, r["rank"]): (r.id, r.raw) for r in topk.top_k_batch(df, queries, 3, "id", "ask").collect()}
+    held = dict(rows)
+    for ask in range(0, 50, 7):
+        want = [(r.id, r.raw) for r in topk.top_k(df, held[ask], 3, "id").collect()]
+        assert [got[ask, i] for i in (1, 2, 3)] == want
+
+
+def test_vectors_are_stored_once_and_again_when_files_change(spark, tmp_path):
+    from semlake.sources.store import stored_once
+
+    calls = []
+
+    def make(df):
+        return df.select((F.col("id") + len(calls)).alias("id"))
+
+    path = str(tmp_path / "raw")
+    spark.range(3).write.parquet(path)
+    first = stored_once(spark.read.parquet(path), make, "1").collect()
+    calls.append(1)
+    assert stored_once(spark.read.parquet(path), make, "1").collect() == first
+    spark.range(4).write.mode("overwrite").parquet(path)
+    assert sorted(r.id for r in stored_once(spark.read.parquet(path), make, "1").collect()) == [1, 2, 3, 4]
+
+
+def test_running_sums_over_a_hot_group(spark):
+    rows = [(None if i % 5 == 0 else "hot", i, i % 4) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, i int, c int")
+    got = {(r.g, r.i): r.batch for r in rank.batches(df, 7, "g", "i").collect()}
+    spent = {(r.g, r.i): r.spent for r in rank.within_budget(df, "c", 100, "g", "i").collect()}
+    for g in (None, "hot"):
+        mine, total = [r for r in rows if r[0] == g], 0
+        for n, (_, i, c) in enumerate(mine):
+            total += c
+            assert got[g, i] == n // 7
+            assert spent.get((g, i)) == (total if total <= 100 else None)
+
+
+def test_completion_stops_at_the_first_failing_level(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "parent string, child string")
+    cone_ = graph.cone(edges, spark.createDataFrame([("d",)], "node string"))
+    finished = spark.createDataFrame([("b",)], "node string")
+    seen = []
+
+    def work(bad):
+        def run(nodes):
+            seen.append(sorted(r.node for r in nodes.collect()))
+            return nodes.select("node", (F.col("node") != bad).alias("ok"), F.lit(2).alias("tokens"))
+
+        return run
+
+    out = graph.complete(edges, cone_, finished, work("-"))
+    assert sorted(r.node for r in out.collect()) == ["a", "c", "d"] and seen == [["a"], ["c"], ["d"]]
+    assert graph.usage(out, cone_).first().tokens == 6
+    seen.clear()
+    with pytest.raises(RuntimeError, match="'c'"):
+        graph.complete(edges, cone_, finished, work("c"))
+    assert seen == [["a"], ["c"]]
+
+
+def test_tool_decisions(spark):
+    df = spark.createDataFrame([("Read",), ("Write",), (None,)], "t string")
+    got = [tuple(r[0]) for r in df.select(filters.tool_decision(F.col("t"), ["Read", "Grep"])).collect()]
+    assert got == [("allow", None), ("deny", "tool not allowed: Write"), ("deny", "tool not allowed: (none)")]
+
+
+def test_premises_are_embedded_once_and_global_ones_kept(spark, tmp_path):
+    provider, asked = _counting(tmp_path)
+    rows = spark.createDataFrame([("p", True), ("p", False), ("q", False), ("r", True)], "proposition string, is_global boolean")
+    cache = spark.createDataFrame([("count-16", "r", [0.0] * 16)], "model string, proposition string, vec array<float>")
+    every, kept = providers.premise_vectors(rows, cache, provider)
+    assert every.count() == 4 and [r.proposition for r in kept.collect()] == ["p"] and sorted(asked()) == ["'p'", "'q'"]
+
+
+def test_domains_by_number():
+    assert [Domain.tagged(i).mode for i in range(3)] == ["context", "extended", "restricted"]

@@ -1,3 +1,4 @@
+import re
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -19,13 +20,24 @@ def test_digests_notice_content_and_ignore_variable_names(spark):
 
 
 def test_shrink_drops_lines_from_the_front(spark):
-    pieces = lambda s: [w + " " for w in s.split(" ")]
-    shrink = text.shrinker(pieces, 4)
-    t = "###Premises\na b\nc d\n###Conclusion\ne"
-    assert shrink.plain("a b c") == "a b c" and shrink.plain(None) is None
-    assert len(pieces(shrink.plain(t))) <= 4 and shrink.plain(t).startswith("###Premises")
-    df = spark.createDataFrame([(t,), (None,)], "t string")
-    assert df.select(shrink("t")).first()[0] == shrink.plain(t)
+    pieces = lambda s: re.findall(r"\S+|\s", s)
+    texts = ["a b c", None, "", "###Premises\na b\nc d\n###Conclusion\ne", "###P\n\na b c d e f\ng\n\n###C\nh i", "x " * 40, "###only a heading that is far too long for the limit", "a\nb\nc\nd\ne\nf\ng\nh"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for limit in (1, 4, 7, 9, 30):
+
+        def want(t, goal):
+            if t is None or len(pieces(t)) <= limit:
+                return t
+            for n in range(1, t.count("\n") + 2) if goal else ():  # drop what can go of the first n lines
+                head, rest = t.split("\n")[:n], t.split("\n")[n:]
+                gone = [x for x in head if x and not x.startswith("###")]
+                if head[-1] in gone[-1:] and len(pieces(t)) - sum(len(pieces(x)) for x in gone) <= limit:
+                    return "\n".join([x for x in head if not x or x.startswith("###")] + rest)
+            return "".join(pieces(t)[:limit])
+
+        for goal in (True, False):
+            got = {r.i: r.shrunk for r in text.shrink(df, "t", pieces, limit, goal).collect()}
+            assert got == {i: want(t, goal) for i, t in enumerate(texts)}
 
 
 def test_float32_vectors_are_migrated(spark):
