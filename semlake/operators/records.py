@@ -122,11 +122,12 @@ def rekey_constituent(records: DataFrame, old: bytes, new: bytes, indexed: DataF
     them without constituents raises an error; without it such records mention nothing."""
     holds = F.exists("constituents", lambda c: c["hash"] == F.lit(old))
     if indexed is not None:
-        listed = indexed.where(F.col("hash") == F.lit(old)).select("key")
-        records = records.join(small(listed), "key", "left_semi")
+        # The test below needs a column of the index, else it is made before the join, on records that are not listed.
+        listed = indexed.where(F.col("hash") == F.lit(old)).select("key", F.col("hash").alias("_listed")).distinct()
+        records = records.join(small(listed), "key")
         legacy = F.raise_error(F.concat(F.lit("a record has no constituents, migrate it first: "), F.hex("key"))).cast("boolean")
-        holds = F.when(F.col("constituents").isNull(), legacy).otherwise(holds)
-    mentions = records.where(holds)
+        holds = F.when((F.col("_listed") == F.lit(old)) & F.col("constituents").isNull(), legacy).otherwise(holds)
+    mentions = records.where(holds).drop("_listed")
     swap = F.transform("constituents", lambda c: F.struct(c["name"].alias("name"), F.when(c["hash"] == F.lit(old), F.lit(new)).otherwise(c["hash"]).alias("hash")))
     out = mentions.withColumn("old_key", F.col("key")).withColumn("constituents", swap)
     prefix = keys.xor_prefix(F.transform("constituents", lambda c: c["hash"]))
