@@ -1,10 +1,12 @@
 import hashlib
 import random
+import re
 
+import xxhash
 from pyspark.sql import functions as F
 
 from semlake.llm import fingerprint as fp
-from tests.llm import helpers
+from tests.llm import brute, helpers
 from tests.llm.test_neardup import shingles
 
 
@@ -53,3 +55,22 @@ def test_sketches_merge_and_estimate(spark):
     df = fp.with_fingerprint(df, "part", "b")
     r = df.select("a", fp.distinct_shingles(F.col("a")).alias("n"), fp.containment(F.col("b"), F.col("a")).alias("in"), fp.merge(F.col("a"), F.col("b")).alias("m")).first()
     assert merged == r.a == r.m and abs(r.n / 3996 - 1) < 0.35 and r["in"] > 0.6
+
+
+def hashed(words):
+    """Spark's xxhash64 of an array of strings: each element with the hash before it as seed, from 42."""
+    h = 42
+    for w in words:
+        h = xxhash.xxh64_intdigest(w.encode(), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_fingerprints_hold_the_least_hashes(spark):
+    rnd = random.Random(11)
+    texts = [None, "", " \t", "One TWO three", "a b c d e", "É B c D e F", *(" ".join(f"w{rnd.randrange(n)}" for _ in range(n)) for n in (6, 130, 140, 900, 6000)), "x y " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.fp for r in fp.with_fingerprint(df, "t", "fp").collect()}
+    for i, t in enumerate(texts):
+        w = [x for x in re.split(r"[ \t\n\v\f\r]+", (t or "").translate(brute.UPPER)) if x]
+        runs = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set())
+        assert got[i] == sorted(map(hashed, runs))[: fp.K], i

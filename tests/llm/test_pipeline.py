@@ -1,8 +1,10 @@
 import random
 
+import sentencepiece
+
 import corpus_pipeline
-from semlake.llm import toxicity
-from tests.llm import helpers
+from semlake.llm import pieces, toxicity
+from tests.llm import brute, helpers
 from tests.llm.test_toxicity import corpus
 
 
@@ -45,3 +47,31 @@ def test_toxicity_stage_on_few_labels(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     d = helpers.write(spark, tmp_path, helpers.empty(spark), spark.createDataFrame([], "doc_id bigint, toxic int"), spark.createDataFrame([], "item_id bigint, text string"))
     assert corpus_pipeline.run(spark, d).collect() == []
+
+
+def test_the_whole_equals_plain_python(spark, tmp_path):
+    texts, labels = corpus(120)
+    rnd = random.Random(9)
+    own = lambda n: " ".join(f"v{rnd.randrange(4000)}" for _ in range(n))
+    for i in range(14):
+        base = own(60).split(" ")
+        near = [*base[:55], *own(rnd.choice((1, 3, 9))).split(" ")]  # above and below the threshold
+        texts += [" ".join(base) + "\nshared footer", " ".join(near) + "\nShared footer ", " ".join(base)]
+    texts += [own(30) + " " + helpers.SENTENCE + " " + own(5), helpers.SENTENCE, helpers.SENTENCE[:30], None, "", " \n\t", "ok", "ok", helpers.LONG]
+    docs = helpers.table(spark, texts)
+    labels = spark.createDataFrame(list(enumerate(labels)), "doc_id bigint, toxic int")
+    items = [helpers.SENTENCE, None, "short item", ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    d = helpers.write(spark, tmp_path, docs, labels, bench)
+    model = toxicity.train(spark.read.parquet(f"{d}/documents.parquet"), labels)
+    held = [(i, t) for i, t in enumerate(texts) if brute.score(t, model) < 0.5]
+    held = [(i, t) for (i, _), t in zip(held, brute.kept_lines([t for _, t in held]), strict=True)]
+    held = [held[k] for k in brute.near_kept([t for _, t in held])]
+    held = [(i, t) for i, t in held if not brute.contaminated(t, items)]
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    got = {r.doc_id: (r.n_tokens, r.ids, r.decoded) for r in corpus_pipeline.run(spark, d).collect()}
+    assert 20 < len(held) < len(texts) - 20
+    for i, t in held:
+        ids = [*sp.encode(t or ""), sp.eos_id()]
+        assert got.pop(i) == (len(ids), ids, sp.decode(ids))
+    assert not got

@@ -1,8 +1,10 @@
 import random
 import zlib
 
+import numpy as np
+
 from semlake.llm import toxicity as tx
-from tests.llm import helpers
+from tests.llm import brute, helpers
 
 
 def corpus(n):
@@ -74,3 +76,27 @@ def test_edges(spark):
     one = tx.train(docs, frame([(4, 0), (4, 1), (5, None), (None, 1), (0, 1)]))
     assert tx.score(docs, one).where("tx_score > 0.5").count() == 8
     assert sorted(map(tuple, tx.training_labels(frame([(1, 0), (1, 1), (2, 0), (None, 1), (3, None)])).collect())) == sorted((i, y) for i, y in ((1, 1), (2, 0)) if zlib.crc32(str(i).encode()) % 5)
+
+
+def test_counts_ratios_and_scores_equal_plain_python(spark, tmp_path):
+    texts, labels = corpus(60)
+    texts += [None, "", "  ", "Ünï çode 12", "a", helpers.LONG[:4000]]
+    labels += [0, 1, 0, 1, 0, 1]
+    rows = spark.createDataFrame(list(zip(texts, labels, strict=True)), "text string, tx_label int").repartition(3)
+    q, p = tx.class_counts(rows)
+    want_q, want_p, _ = brute.ratios(texts, labels)
+    assert q.tolist() == want_q.tolist() and p.tolist() == want_p.tolist()
+    docs = helpers.table(spark, texts)
+    lab = spark.createDataFrame(list(enumerate(labels)), "doc_id bigint, toxic int")
+    model = tx.train(docs, lab)
+    # A weight is the ratio times what the regression gave: none where the ratio is none or within the gate.
+    known = {r.tx_id: r.tx_label for r in tx.training_labels(lab).collect()}
+    q, p, ratio = brute.ratios([texts[i] for i in known], list(known.values()))
+    gate = np.abs(ratio) < tx.SIGNIFICANT * np.sqrt(1 / (p + 1) + 1 / (q + 1))
+    assert not model[0][gate].any() and model[0][~gate].any()
+    d = helpers.write(spark, tmp_path, docs, lab)
+    got = {r.doc_id: r for r in tx.op6_toxicity(spark, d).collect()}
+    for i, t in enumerate(texts):
+        want = brute.score(t, model)
+        assert abs(got[i].score - want) < 1e-5 and got[i].predicted == int(got[i].score >= 0.5)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
