@@ -98,6 +98,45 @@ def is_infra_induction(name: Column, infra_fact: Column) -> Column:
     return infra_fact | name.startswith("Basic_BNFs.")
 
 
+# Collections of facts that serve tools only, and theories all of whose collections do.
+TOOL_COLLECTIONS = (
+    "HOL.no_atp", "HOL.atomize_elim",
+    "HOL.nitpick_simp", "HOL.nitpick_psimp", "HOL.nitpick_unfold", "HOL.nitpick_choice_spec",
+    "HOL.code_pred_def", "HOL.code_pred_inline", "HOL.code_pred_simp",
+    "SMT.smt_arith_combine", "SMT.smt_arith_multiplication", "SMT.smt_arith_simplify",
+    "Quotient.quot_equiv", "Quotient.quot_preserve", "Quotient.quot_respect",
+    "Quotient.quot_thm", "Quotient.id_simps",
+    "Lifting.relator_eq_onp",
+    "Fun_Def.measure_function", "Fun_Def_Base.termination_simp",
+    "Partial_Function.partial_function_mono",
+)
+TOOL_THEORIES = ("Transfer.", "Lifting.", "SMT.", "Pure.")
+
+
+def is_infra_collection(name: Column, concealed: Column, hidden: Column, inaccessible: Column) -> Column:
+    """Collections of facts nobody would cite: tool-internal ones, congruences up to of codatatypes, names out of reach."""
+    base = text.base_name(name)
+    inner = name.isin(*TOOL_COLLECTIONS) | base.startswith("cong_") | (base == "coinduct_upto")
+    for p in TOOL_THEORIES:
+        inner = inner | name.startswith(p)
+    return inner | concealed | hidden | inaccessible
+
+
+def is_infra_scoped(concealed: Column, hidden: Column, infra_module: Column, declared: Column | None = None) -> Column:
+    """Types, classes and locales; only types can be declared internal."""
+    inner = concealed | hidden | infra_module
+    return inner if declared is None else declared | inner
+
+
+def infra_methods(methods: DataFrame, base: DataFrame, name: str = "name", module: str = "module") -> DataFrame:
+    """Names of methods not worth showing: of a module in ``base`` (column module), without a known module, or with a
+    true flag among concealed, hidden and inaccessible (null: false)."""
+    known = base.select(F.col("module").alias("_base")).distinct()
+    flag = F.coalesce(F.col("concealed"), F.lit(False)) | F.coalesce(F.col("hidden"), F.lit(False)) | F.coalesce(F.col("inaccessible"), F.lit(False))
+    out = methods.join(known, F.col(module) == F.col("_base"), "left")
+    return out.where(F.col(module).isNull() | F.col("_base").isNotNull() | flag).select(name)
+
+
 def right_length(vector: Column, dimension: int) -> Column:
     """keep, unmigrated (four bytes a component instead of two) or wrong, by the byte length of a stored vector."""
     n = F.octet_length(vector)

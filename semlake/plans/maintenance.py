@@ -113,6 +113,23 @@ def infra_cascade(spark, sf_dir):
     return filters.mentions_any(facts, "consts", infra, "l_orderkey")
 
 
+def infra_collections(spark, sf_dir):
+    """Parts as collections of facts, named after six theories and five endings; every 11th is concealed, every 13th out of reach."""
+    key = F.col("p_partkey")
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (key % n + 1).cast("int"))
+    df = table(spark, sf_dir, "part").withColumn("name", F.concat_ws(".", pick(("HOL", "List", "Transfer", "Lifting", "SMT", "Quotient"), 6), pick(("no_atp", "cong_refl", "coinduct_upto", "id_simps", "simps"), 5)))
+    return df.where(filters.is_infra_collection(F.col("name"), key % 11 == 0, F.lit(False), key % 13 == 0)).select("p_partkey", "name")
+
+
+def infra_methods(spark, sf_dir):
+    """Parts as methods of their brand; brands that begin with Brand#1 are the base, every 10th part has no brand, every 7th is hidden."""
+    key = F.col("p_partkey")
+    part = table(spark, sf_dir, "part")
+    flags = [(key % 7 == 0).alias("hidden"), F.lit(False).alias("concealed"), F.lit(None).cast("boolean").alias("inaccessible")]
+    methods = part.select(key.alias("name"), F.when(key % 10 != 0, F.col("p_brand")).alias("module"), *flags)
+    return filters.infra_methods(methods, part.where("p_brand LIKE 'Brand#1%'").select(F.col("p_brand").alias("module")))
+
+
 def auto_embed_fill(spark, sf_dir):
     """Vectors of documents without one, by the offline hashing provider; even documents have theirs already."""
     from semlake import providers
@@ -148,6 +165,12 @@ UNION ALL SELECT lang, source, true, greatest(n_chars - 500, 0) FROM documents W
     "schedule_levels": f"WITH RECURSIVE {_TREE}, l AS (SELECT 0 AS node, 0 AS level UNION ALL SELECT child, level + 1 FROM l JOIN e ON parent = node) SELECT node, CAST(level AS BIGINT) AS level FROM l",
     "bounded_expansion": f"WITH RECURSIVE {_TREE}, c AS (SELECT 24 AS node, 0 AS depth UNION ALL SELECT parent, depth + 1 FROM c JOIN e ON child = node) SELECT node, CAST(depth AS BIGINT) AS depth FROM c ORDER BY depth LIMIT 3",
     "infra_cascade": "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 = 0)",
+    "infra_collections": """WITH n AS (SELECT p_partkey, ['HOL', 'List', 'Transfer', 'Lifting', 'SMT', 'Quotient'][CAST(p_partkey % 6 + 1 AS INTEGER)] AS theory,
+  ['no_atp', 'cong_refl', 'coinduct_upto', 'id_simps', 'simps'][CAST(p_partkey % 5 + 1 AS INTEGER)] AS base FROM part)
+SELECT p_partkey, theory || '.' || base AS name FROM n WHERE theory IN ('Transfer', 'Lifting', 'SMT') OR base IN ('cong_refl', 'coinduct_upto')
+  OR (theory, base) IN (('HOL', 'no_atp'), ('Quotient', 'id_simps')) OR p_partkey % 11 = 0 OR p_partkey % 13 = 0""",
+    "infra_methods": """SELECT p_partkey AS name FROM part WHERE p_partkey % 10 = 0 OR p_partkey % 7 = 0
+  OR p_brand LIKE 'Brand#1%'""",
 }
 
 QUERIES = {name: globals()[name] for name in (*ORACLES, "auto_embed_fill")}

@@ -350,3 +350,17 @@ def test_premises_are_embedded_once_and_global_ones_kept(spark, tmp_path):
 
 def test_domains_by_number():
     assert [Domain.tagged(i).mode for i in range(3)] == ["context", "extended", "restricted"]
+
+
+def test_infra_collections_types_and_methods(spark):
+    rows = [("HOL.no_atp", False, False), ("HOL.simps", False, False), ("Pure.x", False, False), ("T.cong_a", False, False), ("T.coinduct_upto", False, False), ("T.x", False, True), ("T.y", True, False), ("Cong.no_atp", False, False)]
+    df = spark.createDataFrame(rows, "name string, c boolean, h boolean")
+    collection = filters.is_infra_collection(F.col("name"), F.col("c"), F.col("h"), F.lit(False))
+    assert {r.name for r in df.where(~collection).collect()} == {"HOL.simps", "Cong.no_atp"}
+    scoped = df.select("name", filters.is_infra_scoped(F.col("c"), F.col("h"), F.lit(False)).alias("plain"), filters.is_infra_scoped(F.col("c"), F.col("h"), F.lit(False), F.col("name") == "HOL.simps").alias("type"))
+    assert {r.name for r in scoped.where("plain").collect()} == {"T.x", "T.y"}
+    assert {r.name for r in scoped.where("type").collect()} == {"T.x", "T.y", "HOL.simps"}
+    methods = spark.createDataFrame([("auto", "HOL", None), ("mine", "T", None), ("lost", None, None), ("deep", "T", True)], "name string, module string, hidden boolean")
+    methods = methods.withColumns({"concealed": F.lit(False), "inaccessible": F.lit(False)})
+    base = spark.createDataFrame([("HOL",), ("HOL",), (None,)], "module string")
+    assert sorted(r.name for r in filters.infra_methods(methods, base).collect()) == ["auto", "deep", "lost"]
