@@ -1,6 +1,6 @@
 """The queries opN_<name> and the DuckDB SQL of those that SQL can express."""
 
-from semlake.llm import chat, counts, decontaminate, fingerprint, idfile, lines, neardup, pieces, pii, toxicity
+from semlake.llm import chat, counts, decontaminate, fingerprint, idfile, lines, neardup, pieces, pii, simhash, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op11_simhash": simhash.op11_simhash,
 }
 
 ORACLES = {
