@@ -1,6 +1,6 @@
 """The queries opN_<name> and the DuckDB SQL of those that SQL can express."""
 
-from semlake.llm import align, chat, counts, decontaminate, fingerprint, idfile, lines, neardup, pieces, pii, simhash, toxicity
+from semlake.llm import align, chat, counts, decontaminate, fingerprint, idfile, lines, neardup, phrases, pieces, pii, simhash, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_sentencepiece": pieces.op10_sentencepiece,
     "op11_simhash": simhash.op11_simhash,
+    "op12_phrases": phrases.op12_phrases,
     "op13_token_alignment": align.op13_token_alignment,
 }
 
@@ -22,4 +23,5 @@ ORACLES = {
     "op4_line_dedup": lines.OP4_SQL,
     "op7_chat_format": chat.OP7_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
+    "op12_phrases": phrases.OP12_SQL,
 }
