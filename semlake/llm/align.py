@@ -25,7 +25,7 @@ empty result; other columns are carried through, but for those named like the ne
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 import uuid
 from collections import OrderedDict
@@ -41,13 +41,17 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semlake.llm.common import cached, hold_only, map_batches, materialise, remove, row_slices, scratch, ship, table
+from semlake.llm.common import cached, hold_only, map_batches, materialise, ragged, remove, row_slices, scratch, ship, table
 
 SPACE = "▁"
 #: White space before a space: texts without it are cut at every space. Otherwise cuts follow the second pattern.
 UNEVEN, CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
 #: Units that a worker remembers, bytes of their texts, and bytes of text that are worked on at once.
-MEMORY, MEMORY_BYTES, STEP_BYTES = 250_000, 16 << 20, 1 << 20
+MEMORY, MEMORY_BYTES, STEP_BYTES = 500_000, 16 << 20, 1 << 20
+#: Fixed value: how byte-level BPE of this kind cuts texts.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Units that are encoded as one text.
+JOINED = 20_000
 #: Shards that are kept when they can't be mapped.
 OPEN = 16
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -88,25 +92,36 @@ class Aligned(NamedTuple):
 
 
 class Aligner:
+    """A's file gives its vocabulary, and that its ids are in the order of its merges (checked); tiktoken then encodes several times as
+    fast as the library that the file is for, and the same (tests compare them)."""
+
     def __init__(self, model_a: str, model_b: str):
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are parallel
-        self.a = Tokenizer.from_file(model_a)
-        self.a.encode_special_tokens = True  # their strings in a text are plain text
+        import tiktoken
+
+        with open(model_a, encoding="utf-8") as f:
+            file = json.load(f)
+        model, of = file["model"], byte_alphabet()
+        pre = file["pre_tokenizer"]
+        if model["type"] != "BPE" or file["normalizer"] or (pre["type"], pre["add_prefix_space"], pre["use_regex"]) != ("ByteLevel", False, True):
+            raise ValueError(f"{model_a} is not a byte-level BPE without normalisation")
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+        made = [model["vocab"][m] for m in merged]
+        if made != sorted(set(made)):
+            raise ValueError(f"{model_a}: ids are not in the order of merges")
+        special = {t["content"] for t in file["added_tokens"]}  # their strings in a text are plain text
+        ranks = {bytes(of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+        self.a = tiktoken.Encoding(name="a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bytes_a = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.bytes_a[i] = token
         self.b = sp = sentencepiece.SentencePieceProcessor(model_file=model_b)
-        of = byte_alphabet()
-        special = {t.content for t in self.a.get_added_tokens_decoder().values()}
-        self.bytes_a = [b""] * self.a.get_vocab_size()
-        for token, i in self.a.get_vocab().items():
-            if token not in special:
-                self.bytes_a[i] = bytes(of[c] for c in token)
         pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("the model has pieces that go on into U+2581; texts can't be cut there")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([*map(len, x)], np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.flat_a, self.flat_b = (np.frombuffer(b"".join(x), np.uint8) for x in (self.bytes_a, self.bytes_b))
         self.blank = sp.piece_to_id(SPACE)
 
     def units(self, text: str) -> list[str]:
@@ -114,40 +129,70 @@ class Aligner:
         text = " " + text
         return [u[1:] for u in CUT.split(text)] if UNEVEN.search(text) else text.split(" ")[1:]
 
-    def align(self, units: list[str]) -> Aligned:
-        a = [e.ids for e in self.a.encode_batch([" " + u for u in units], add_special_tokens=False)]
-        b = [x or [self.blank] for x in self.b.encode(units, num_threads=1)]
-        ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
+    def _encode_a(self, units: list[str], size: np.ndarray, alone: int) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of all units and their number in each. Units are joined as a text would hold them and told apart by their
+        bytes; the last ``alone`` ones end in white space and are encoded by themselves."""
+        n = len(units) - alone
+        parts, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, n, JOINED):
+            end = min(at + JOINED, n)
+            ids = np.array(self.a.encode_ordinary(" " + " ".join(units[at:end])), np.int64)
+            parts.append(ids)
+            counts.append(np.diff(np.searchsorted(np.cumsum(self.size_a[ids]), np.cumsum(size[at:end]), "right"), prepend=0))
+        for u in units[n:]:
+            parts.append(np.array(self.a.encode_ordinary(" " + u), np.int64))
+            counts.append(np.array([len(parts[-1])]))
+        return np.concatenate(parts), np.concatenate(counts)
+
+    def align(self, units: list[str], alone: int | None = None, groups: bool = True) -> Aligned:
+        """alone: how many units at the end of the list end in white space; by default none is joined with others."""
         want = [b" " + u.encode() for u in units]
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(units)) for x in (a, b))
         size = np.fromiter(map(len, want), np.int64, len(units))
+        ids_a, n_a = self._encode_a(units, size, len(units) if alone is None else alone)
+        b = [x or [self.blank] for x in self.b.encode(units, num_threads=1)]
+        n_b = np.fromiter(map(len, b), np.int64, len(units))
+        ids_b = np.fromiter(chain.from_iterable(b), np.int64, int(n_b.sum()))
+        # Units that both spell byte for byte.
+        whole, good = np.frombuffer(b"".join(want), np.uint8), np.ones(len(units), bool)
         owner_a, owner_b = np.repeat(np.arange(len(units)), n_a), np.repeat(np.arange(len(units)), n_b)
-        good = (np.bincount(owner_a, self.size_a[ids_a], len(units)) == size) & (np.bincount(owner_b, self.size_b[ids_b], len(units)) == size)
-        spelt = lambda ids, table: b"".join(map(table.__getitem__, ids))
-        whole = b"".join(want)
-        if not good.all() or spelt(ids_a.tolist(), self.bytes_a) != whole or spelt(ids_b.tolist(), self.bytes_b) != whole:
-            good &= [spelt(x, self.bytes_a) == w == spelt(y, self.bytes_b) for x, y, w in zip(a, b, want, strict=True)]
+        for ids, owner, sizes, flat in ((ids_a, owner_a, self.size_a, self.flat_a), (ids_b, owner_b, self.size_b, self.flat_b)):
+            each = sizes[ids]
+            spelt = np.bincount(owner, each, len(units)).astype(np.int64)
+            good &= spelt == size
+            got = flat[ragged((np.cumsum(sizes) - sizes)[ids], each)]
+            fit = np.repeat(spelt == size, spelt)
+            right = whole[np.repeat(spelt == size, size)] == got[fit]
+            at = np.repeat(np.flatnonzero(spelt == size), size[spelt == size])
+            good[at[~right]] = False
+        if not good.all():
             ids_a, ids_b = ids_a[good[owner_a]], ids_b[good[owner_b]]
             n_a, n_b, size = n_a * good, n_b * good, size * good
         end_a, end_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
-        ends = np.union1d(end_a, end_b)
-        at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        both = (end_a[at_a] == ends) & (end_b[at_b] == ends) if len(ends) else np.zeros(0, bool)
-        unit_ends = np.cumsum(size)
+        # Ends of either kind, as marks on the bytes.
+        mark = np.zeros(int(size.sum()) + 1, np.uint8)
+        mark[end_a] = 1
+        mark[end_b] |= 2
+        ends = np.flatnonzero(mark)
+        kind, unit_ends = mark[ends], np.cumsum(size)
+        at_a, at_b = (np.cumsum(kind & k > 0) - (kind & k > 0) for k in (1, 2))  # the tokens over the bytes before each end
+        both = kind == 3
         shared = ends[both]
-        joined = []
-        for ids, at in ((ids_a, at_a), (ids_b, at_b)):
-            offsets = np.concatenate([[0], at[both] + 1])
-            joined.append(pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(ids).cast(pa.string())), ","))
-        groups = pc.binary_join_element_wise(*joined, "|")
         group_ends = np.concatenate([[0], np.searchsorted(shared, unit_ends, "right")])
-        groups = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(group_ends), groups), ";")
+        text = pa.array([], pa.string())
+        if groups:
+            joined = []
+            for ids, at in ((ids_a, at_a), (ids_b, at_b)):
+                offsets = np.concatenate([[0], at[both] + 1])
+                joined.append(pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(ids).cast(pa.string())), ","))
+            text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(group_ends), pc.binary_join_element_wise(*joined, "|")), ";")
         n_links = np.diff(np.searchsorted(ends, unit_ends, "right"), prepend=0)
-        return Aligned(good, n_a, n_b, np.diff(group_ends), n_links, ids_b[at_b] << 32 | ids_a[at_a], groups)
+        return Aligned(good, n_a, n_b, np.diff(group_ends), n_links, ids_b[at_b] << 32 | ids_a[at_a], text)
 
 
 class Units:
-    """The units that a worker remembers, by number."""
+    """The units that a worker remembers, by number; ``texts`` says whether their groups are kept as text."""
+
+    texts = False
 
     def __init__(self, model_a: str, model_b: str):
         self.aligner = cached(Aligner, model_a, model_b)
@@ -160,8 +205,10 @@ class Units:
     def full(self, new: int) -> bool:
         return bool(self.number) and (len(self.number) + new > MEMORY or self.bytes > MEMORY_BYTES)
 
-    def learn(self, units: list[str]) -> None:
-        got = self.aligner.align(units)
+    def learn(self, units: set[str]) -> None:
+        alone = [u for u in units if not u or u[-1].isspace()]
+        units = [*units.difference(alone), *alone]
+        got = self.aligner.align(units, len(alone), self.texts)
         self.number.update(zip(units, range(len(self.number), len(self.number) + len(units)), strict=True))
         self.bytes += sum(map(len, units))
         self.good = np.concatenate([self.good, got.good])
@@ -197,7 +244,7 @@ class PairUnits(Units):
 class CountedUnits(Units):
     """With the six numbers of each unit and its groups as text."""
 
-    folder = ""
+    folder, texts = "", True
 
     def use(self, counts: Counts) -> None:
         if counts.folder != self.folder:
@@ -294,7 +341,7 @@ def pair_counts(docs: DataFrame, models: tuple[str, str] | None = None) -> DataF
                     held.clear()
                     seen, new = seen[:0], set(words)
                 if new:
-                    held.learn(list(new))
+                    held.learn(new)
                     seen = np.concatenate([seen, np.zeros(len(new), np.int64)])
                 number, bounds, fine = held.places(words, cut)
                 seen += np.bincount(number[np.repeat(fine, np.diff(bounds))], minlength=len(seen))
@@ -374,7 +421,7 @@ def align_documents(docs: DataFrame, counts: Counts, models: tuple[str, str] | N
                 held.clear()
                 new = set(words)
             if new:
-                held.learn(list(new))
+                held.learn(new)
             number, bounds, fine = held.places(words, cut)
             total = np.concatenate([np.zeros((len(COLUMNS), 1), np.int64), np.cumsum(held.numbers[:, number], axis=1)], axis=1)
             sums = (total[:, bounds[1:]] - total[:, bounds[:-1]]) * fine
