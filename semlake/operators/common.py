@@ -14,9 +14,15 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a side after counting no further than the bound; a larger side is left to a shuffle join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def is_small(df: DataFrame, most: int | None = None) -> bool:
+    """Whether a side has no more rows than the bound, counting no further than it."""
+    most = BROADCAST_ROWS if most is None else most
+    return df.limit(most + 1).count() <= most
+
+
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Broadcast a small side; a larger one is left to a shuffle join."""
+    return F.broadcast(df) if is_small(df, most) else df
 
 
 def checkpoint_path(spark: SparkSession) -> str:

@@ -96,12 +96,39 @@ def add_costs(ledger: DataFrame, deltas: DataFrame) -> DataFrame:
     )
 
 
+def fold_costs(rows: DataFrame) -> DataFrame:
+    """Ledger rows and deltas (finished and ts may be missing) as one row a key, which may be folded again: counters add up,
+    finished stays, the model of the last ts wins."""
+    counters = ("input_tokens", "cache_creation_tokens", "cache_read_tokens", "output_tokens", "cost_usd")
+    finished = F.coalesce(F.bool_or("finished"), F.lit(False)) if "finished" in rows.columns else F.lit(False)
+    at = F.coalesce("ts", F.lit("0001-01-01").cast("timestamp"))
+    folded = {c: F.sum(c) for c in counters} | {"finished": finished, "model": F.max_by("model", at), "ts": F.max("ts")}
+    out = rows.groupBy("key").agg(*(f.alias(c) for c, f in folded.items()))
+    return out.select(*(c if c in out.columns else F.lit(None).alias(c) for c in rows.columns))
+
+
+def added_costs(a: str, b: str, columns: Sequence[str]) -> list:
+    """The columns of two folded ledger rows (structs, either may be null) added up."""
+    later = F.coalesce(F.col(f"{b}.ts") >= F.col(f"{a}.ts"), F.col(f"{b}.ts").isNotNull() | F.col(a).isNull())
+    named = {
+        "finished": F.coalesce(F.col(f"{a}.finished"), F.lit(False)) | F.coalesce(F.col(f"{b}.finished"), F.lit(False)),
+        "model": F.when(later, F.coalesce(F.col(f"{b}.model"), F.col(f"{a}.model"))).otherwise(F.coalesce(F.col(f"{a}.model"), F.col(f"{b}.model"))),
+        "ts": F.greatest(f"{a}.ts", f"{b}.ts"),
+    }
+    return [named.get(c, F.coalesce(F.col(f"{a}.{c}"), F.lit(0)) + F.coalesce(F.col(f"{b}.{c}"), F.lit(0))).alias(c) for c in columns]
+
+
 def clean_wip(df: DataFrame) -> DataFrame:
     return df.where(~keys.is_wip(F.col("key")))
 
 
+def belonging(records: DataFrame, modules: Sequence[bytes]) -> DataFrame:
+    """Keys of the records that belong to the modules, by prefix or constituent."""
+    return records.where(F.coalesce(filters.belongs_to(F.col("key"), F.col("kind"), F.col("constituents"), modules), F.lit(False))).select("key")
+
+
 def remove_modules(records: DataFrame, vectors: DataFrame, modules: Sequence[bytes]) -> tuple[DataFrame, DataFrame]:
-    gone = records.where(F.coalesce(filters.belongs_to(F.col("key"), F.col("kind"), F.col("constituents"), modules), F.lit(False))).select("key")
+    gone = belonging(records, modules)
     return delete(records, gone), delete(vectors, gone)
 
 
@@ -142,6 +169,19 @@ def migration_source(names: DataFrame, status: DataFrame, new: bytes) -> DataFra
     return other.orderBy(F.desc("ts"), "hash").limit(1)
 
 
+def migrated(records: DataFrame, vectors: dict[str, DataFrame], old: bytes, new: bytes) -> dict[str, DataFrame]:
+    """Records and vector tables after a module's hash has changed: its plain records are there under the new prefix too, and records
+    that mention the old hash stand under their new key only. A vector goes where its record goes."""
+    rekeyed = rekey_constituent(records, old, new)
+    moves = rekeyed.select(F.col("old_key").alias("key"), F.col("key").alias("new_key"))
+    kept = delete(records, moves)
+    out = {"records": upsert(copy_prefix(kept, old, new), rekeyed.drop("old_key"))}
+    for name, df in vectors.items():
+        moved = df.join(small(moves), "key").withColumn("key", F.col("new_key")).select(df.columns)
+        out[name] = upsert(copy_prefix(delete(df, moves), old, new), moved)
+    return out
+
+
 def put_experiences(records: DataFrame, vectors: DataFrame, new: DataFrame, new_vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vectors are checked first: every new experience needs one, else nothing is written."""
     if (row := new.join(new_vectors.select("key"), "key", "left_anti").select("key").first()) is not None:

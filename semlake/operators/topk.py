@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from semlake.functions import q15
-from semlake.operators.common import checkpoint_path, ship, small
+from semlake.operators.common import is_small, ship, small
 
 BOOST = 0.25
 #: Queries that are sent to the tasks at once, and vectors that meet a query at once.
@@ -29,8 +28,15 @@ def of_kinds(df: DataFrame, kinds: Sequence[int], column: str = "kind") -> DataF
 
 
 def gather(candidates: DataFrame, vectors: DataFrame, key: str, vector: str, dimension: int) -> DataFrame:
-    """Distinct candidates with their vector and state: keep, missing, or skipped for a wrong length."""
-    found = candidates.dropDuplicates([key]).join(vectors.select(key, vector), key, "left")
+    """Distinct candidates with their vector and state: keep, missing, or skipped for a wrong length. vectors: one row a key. Neither
+    broadcasts vectors nor shuffles stored ones: few candidates go to the vectors, many into the buckets."""
+    wanted, held = candidates.dropDuplicates([key]), vectors.select(key, vector)
+    if is_small(wanted):
+        hit = held.join(F.broadcast(wanted), key)
+        lost = wanted.join(F.broadcast(hit.select(key)), key, "left_anti")
+        found = hit.select(*wanted.columns, vector).unionByName(lost.withColumn(vector, F.lit(None).cast(held.schema[vector].dataType)))
+    else:
+        found = wanted.join(held, key, "left")
     state = F.when(F.col(vector).isNull(), "missing").when(F.size(vector) != dimension, "skipped").otherwise("keep")
     return found.withColumn("state", state)
 
@@ -53,43 +59,62 @@ def top_k_per(df: DataFrame, by: str | list[str], k: int, key: str) -> DataFrame
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _best_of_block(batches: Iterator[pa.RecordBatch], ids: list, queries: np.ndarray, k: int, key: str, vector: str, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """The k best vectors of a partition for each query of a block, by (raw desc, key)."""
-    best: list[list[tuple]] = [[] for _ in ids]
-    for batch in batches:
-        for at in range(0, batch.num_rows, VECTOR_ROWS):
-            part = batch.slice(at, VECTOR_ROWS)
-            held = part.column(vector)
-            v = held.flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(len(held), -1)
-            for i, q in enumerate(queries):
-                raw = ((v * q + 16384) >> 15).sum(1, dtype=np.int64)
-                least = np.partition(raw, -k)[-k] if len(raw) > k else raw.min()
-                hits = np.flatnonzero(raw >= (max(least, best[i][-1][0]) if len(best[i]) == k else least))
-                if len(hits):
-                    new = zip(raw[hits].tolist(), part.column(key).take(pa.array(hits)).to_pylist(), strict=True)
-                    best[i] = sorted([*best[i], *new], key=lambda x: (-x[0], x[1]))[:k]
-    rows = [(ids[i], raw, x) for i, found in enumerate(best) for raw, x in found]
-    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows]) if rows else pa.array([], pa.int64()) for j in range(3)], names=names)
-
-
-def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, vector: str = "q", query_vector: str = "qv") -> DataFrame:
-    """Top-k for a stated set of queries, exact, in blocks of at most QUERY_ROWS queries: each block is sent to the tasks, meets every
-    vector once, and k rows of each query leave a task. Vectors of another length than the queries must be gone."""
-    spark = vectors.sparkSession
-    ship(spark)
-    blocks = max(1, -(-queries.count() // QUERY_ROWS))
+def _blocks(df: DataFrame, ids: str, vector: str, dimension: int, rows: int, count: int, name: str) -> DataFrame:
+    """(name, name_ids, name_rows): rows of vectors as one binary each, about ``rows`` of them, dealt by a hash of their key. Vectors of
+    another length are left out; lengths are read off the list offsets."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    blocks = max(1, -(-count // rows))
+    dealt = df.select(ids, vector, F.pmod(F.xxhash64(ids), F.lit(blocks)).cast("int").alias(name)).where(F.size(vector) == dimension)
+    dealt = dealt.repartition(name).sortWithinPartitions(name)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column(name).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]) if len(block) else np.zeros(1, int)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                v = batch.column(vector).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).astype("<i2")
+                row = [pa.array([int(block[a])], pa.int32()), pa.array([batch.column(ids).slice(a, b - a).to_pylist()], pa.list_(batch.column(ids).type)), pa.array([v.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, names=[name, f"{name}_ids", f"{name}_rows"])
+
+    return dealt.mapInArrow(pack, f"`{name}` int, `{name}_ids` array<{kinds[ids]}>, `{name}_rows` binary")
+
+
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, vector: str = "q", query_vector: str = "qv", dimension: int | None = None) -> DataFrame:
+    """Exact top-k for a stated set of queries in one job: blocks of queries meet blocks of vectors, and k rows of each query leave a
+    meeting. Vectors and queries of another length than the dimension (that of the first query, if not given) are left out, as a search
+    leaves out what it skips; no k, no rows."""
+    ship(vectors.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in (*vectors.schema.fields, *queries.schema.fields)}
-    names = [query_key, "raw", key]
     schema = f"`{query_key}` {kinds[query_key]}, raw bigint, `{key}` {kinds[key]}"
-    dealt = queries.select(query_key, query_vector, F.pmod(F.xxhash64(query_key), F.lit(blocks)).alias("block"))
-    held = vectors.select(key, vector).where(F.col(vector).isNotNull())
-    path = checkpoint_path(spark)
-    for i in range(blocks):
-        some = dealt.where(F.col("block") == i).select(query_key, query_vector).collect()  # about QUERY_ROWS rows
-        ids, block = [r[0] for r in some], np.array([r[1] for r in some], np.int32)
-        run = functools.partial(_best_of_block, ids=ids, queries=block, k=k, key=key, vector=vector, names=names)
-        held.mapInArrow(run, schema).write.mode("append").parquet(path)
-    found = spark.read.schema(schema).parquet(path)
+    if dimension is None:
+        first = queries.where(F.col(query_vector).isNotNull()).select(F.size(query_vector)).first()
+        dimension = first[0] if first else 0
+    if k <= 0 or not dimension:
+        empty = vectors.sparkSession.createDataFrame([], schema)
+        return empty.withColumns({"rank": F.lit(1), "score": F.lit(0.0)})
+    size = max(1, min(VECTOR_ROWS, (8 << 20) // dimension))
+    some = _blocks(queries, query_key, query_vector, dimension, min(QUERY_ROWS, size), queries.count(), "asked")
+    # Each block of vectors is sent once to each block of queries: the smaller the share of queries, the fewer copies.
+    n_asked = max(1, -(-queries.count() // min(QUERY_ROWS, size)))
+    held = _blocks(vectors, key, vector, dimension, size, vectors.count(), "held").withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
+    types = [pa.from_numpy_dtype("int64")]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for asked, q, ids, v in zip(*(batch.column(c) for c in ("asked_ids", "asked_rows", "held_ids", "held_rows")), strict=True):
+                queries_ = np.frombuffer(q.as_buffer(), "<i2").astype(np.int32).reshape(-1, dimension)
+                block = np.frombuffer(v.as_buffer(), "<i2").astype(np.int32).reshape(-1, dimension)
+                at, raws, who = [], [], []
+                for i, x in enumerate(queries_):
+                    raw = ((block * x + 16384) >> 15).sum(1, dtype=np.int64)
+                    near = np.flatnonzero(raw >= np.partition(raw, -k)[-k]) if len(raw) > k else np.arange(len(raw))  # ties stay until keys are compared
+                    at.append(near)
+                    raws.append(raw[near])
+                    who.append(np.full(len(near), i))
+                columns = [asked.values.take(pa.array(np.concatenate(who))), pa.array(np.concatenate(raws), types[0]), ids.values.take(pa.array(np.concatenate(at)))]
+                yield pa.RecordBatch.from_arrays(columns, names=[query_key, "raw", key])
+
+    found = held.join(some, "asked").select("asked_ids", "asked_rows", "held_ids", "held_rows").mapInArrow(best, schema)
     return top_k_per(found, query_key, k, key).withColumn("score", q15.recover_cos(F.col("raw")))
 
 

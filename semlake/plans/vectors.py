@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def store(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """The table's vectors in 16 bits, written once and then searched."""
     raw = table(spark, sf_dir, "embeddings")
-    held = stored_once(raw, lambda df: df.select("vec_id", "label", q15.quantize(F.col("embedding")).cast("array<smallint>").alias("q")), "q15-1")
+    held = stored_once(raw, lambda df: df.select("vec_id", "label", q15.quantize(F.col("embedding")).cast("array<smallint>").alias("q")), "q15-2", ["vec_id"])
     return held.select("vec_id", *more, "q")
 
 

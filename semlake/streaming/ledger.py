@@ -8,19 +8,16 @@ from pyspark.sql import functions as F
 from semlake.operators import records
 from semlake.sources.store import Store
 
-COUNTERS = ("input_tokens", "cache_creation_tokens", "cache_read_tokens", "output_tokens", "cost_usd")
-
-
-def start(deltas: DataFrame, store: Store, checkpoint: str, schema, table: str = "ledger", **trigger):
-    """deltas: a stream of (key, counters, model, ts). The ledger's rows carry the last batch that went in, so a batch
-    that is run again after a crash is left out."""
-
-    def add(batch: DataFrame, batch_id: int) -> None:
-        held = store.read(table, schema)
-        if "batch" in held.columns and (last := held.agg(F.max("batch")).first()[0]) is not None and last >= batch_id:
-            return
-        out = records.add_costs(held.drop("batch"), batch)
-        store.replace(table, out.withColumn("batch", F.lit(batch_id).cast("bigint")))
+def start(deltas: DataFrame, store: Store, checkpoint: str, table: str = "ledger", **trigger):
+    """deltas: a stream of (key, counters, finished, model, ts). A micro-batch is written as a delta of the ledger, in one commit
+    with its number, so a batch that is run again after a crash adds nothing; deltas are folded by the store."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        change = store.change()
+        before = change.streams.get(checkpoint, -1)
+        change.add(table, records.fold_costs(batch), checkpoint, number)
+        if change.streams.get(checkpoint, -1) > before:
+            change.commit()
 
     return deltas.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -10,8 +10,6 @@ from semlake.api import Domain, Searcher
 from semlake.functions import keys, q15, text
 from semlake.operators import filters, graph, index, joins, rank, records, snapshot, topk
 from semlake.schemas import ModelConfig
-from semlake.sources.store import Store
-from semlake.streaming import ledger
 
 H1, H2, H3 = (bytes([i]) * 16 for i in (2, 4, 6))
 
@@ -188,24 +186,6 @@ def test_order_and_fusion(spark):
     assert tuple(one) == (True, True)
 
 
-def test_store_and_stream(spark, tmp_path):
-    store = Store(spark, f"file://{tmp_path}/s")
-    df = spark.createDataFrame([(bytearray(H1), 1)], "key binary, v int")
-    assert store.version("t") == 0 and store.read("t", "key binary, v int").count() == 0
-    store.replace("t", df)
-    store.replace("t", records.upsert(store.read("t"), spark.createDataFrame([(bytearray(H2), 2)], "key binary, v int")))
-    store.replace("t", store.read("t").where("v = 2"))
-    assert (store.version("t"), store.read("t").count()) == (3, 1) and store.prune("t", 1) == [1, 2] and store.versions("t") == [3]
-    manifest = store.pack(f"file://{tmp_path}/snap", ["t"], schema_version="2", vector_format="q15")
-    assert manifest["entries"] == {"t": 1} and store.manifest(f"file://{tmp_path}/snap")["schema_version"] == "2"
-    deltas = "key binary, input_tokens bigint, cache_creation_tokens bigint, cache_read_tokens bigint, output_tokens bigint, cost_usd double, model string, ts timestamp"
-    rows = spark.createDataFrame([(bytearray(H1), 1, 0, 0, 0, 0.5, "m", dt.datetime(2024, 1, 1))], deltas)
-    for _ in range(2):
-        rows.write.mode("append").parquet(f"{tmp_path}/in")
-        ledger.start(spark.readStream.schema(deltas).parquet(f"{tmp_path}/in"), store, f"{tmp_path}/cp", schemas.MODULE_STATUS).awaitTermination()
-    assert store.read("ledger").first().cost_usd == 1.0
-
-
 def test_search(spark, recs):
     rnd = random.Random(1)
     words = ["list", "map", "append", "prime", "group", "ring", "order"]
@@ -280,23 +260,12 @@ def test_batch_search_in_blocks_equals_single_searches(spark, monkeypatch):
     for ask in range(0, 50, 7):
         want = [(r.id, r.raw) for r in topk.top_k(df, held[ask], 3, "id").collect()]
         assert [got[ask, i] for i in (1, 2, 3)] == want
-
-
-def test_vectors_are_stored_once_and_again_when_files_change(spark, tmp_path):
-    from semlake.sources.store import stored_once
-
-    calls = []
-
-    def make(df):
-        return df.select((F.col("id") + len(calls)).alias("id"))
-
-    path = str(tmp_path / "raw")
-    spark.range(3).write.parquet(path)
-    first = stored_once(spark.read.parquet(path), make, "1").collect()
-    calls.append(1)
-    assert stored_once(spark.read.parquet(path), make, "1").collect() == first
-    spark.range(4).write.mode("overwrite").parquet(path)
-    assert sorted(r.id for r in stored_once(spark.read.parquet(path), make, "1").collect()) == [1, 2, 3, 4]
+    assert topk.top_k_batch(df, queries, 0, "id", "ask").count() == 0 == topk.top_k_batch(df, queries.limit(0), 3, "id", "ask").count()
+    odd = df.unionByName(spark.createDataFrame([(90, [1, 2]), (91, [1, 2, 3]), (92, [5]), (93, None)], "id bigint, q array<int>")).repartition(1)
+    more = {(r.ask, r["rank"]): (r.id, r.raw) for r in topk.top_k_batch(odd, queries, 3, "id", "ask", dimension=4).collect()}
+    assert more == got
+    few = topk.top_k_batch(odd, queries.limit(1), 100, "id", "ask").collect()
+    assert sorted(r.id for r in few) == list(range(50))
 
 
 def test_running_sums_over_a_hot_group(spark):
