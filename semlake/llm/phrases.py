@@ -12,7 +12,7 @@ candidate.
    of up to two words on either side is kept, as far as no rarer word comes (to its left, no equal one either): it
    holds just those n-grams whose leftmost pivot it is. Fragments are routed by their pivot; equal ones of
    frequent words are combined before. A pivot with more than SPLIT occurrences is dealt to several places by its fragments.
-3. Each place counts its n-grams on its own. Those of a pivot that was not dealt out are whole there, and
+3. Places travel in regions of neighbouring ones, so that a portion of text makes a row for each region only. Each place counts its n-grams on its own. Those of a pivot that was not dealt out are whole there, and
    leave only as candidates; the counts of the others are added up.
 4. Joins on word numbers give the counts of a candidate's parts; products are exact decimals.
 
@@ -39,8 +39,8 @@ from semlake.llm.common import broadcast_within, hold_only, materialise, remove,
 MIN_COUNT, SHARE, TOP = 10, 50, 2000
 #: Words in the table that goes to the tasks (below 2**21), and bytes of the longest of them.
 TABLE, TABLE_WORD = 1 << 17, 64
-#: Fragments in a place, about, and occurrences from which a pivot is dealt out.
-PLACE, SPLIT = 200_000, 200_000
+#: Fragments in a place, about, places in a region, and occurrences from which a pivot is dealt out.
+PLACE, REGION, SPLIT = 200_000, 5, 200_000
 #: Equal fragments of so many most frequent words are combined: five numbers below 2**12 make one.
 DENSE = (1 << 12) - 2
 #: Bytes of text worked on at once, and words that a task counts before it passes them on.
@@ -184,8 +184,9 @@ def route(five: np.ndarray, lang: str, order: Order, places: int) -> np.ndarray:
 
 
 def routed(docs: DataFrame, order: Order, places: int) -> DataFrame:
-    """(place, lang, five, n): fragments and their numbers as bytes, all of a portion that go to one place in one row."""
-    owner, held = __name__, docs.sparkSession.sparkContext.broadcast(order)
+    """(region, lang, data): places, fragments and their numbers as bytes (seven rows of numbers, by place), all of a portion that go to
+    one region in one row."""
+    owner, held, region = __name__, docs.sparkSession.sparkContext.broadcast(order), REGION
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold_only(owner)
@@ -201,17 +202,14 @@ def routed(docs: DataFrame, order: Order, places: int) -> DataFrame:
                 if not five.shape[1]:
                     continue
                 place = route(five, lang, order, places)
-                by = np.argsort(place, kind="stable")
-                place, five, n = place[by], five[:, by], n[by]
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [len(place)]]).tolist()
-                sides = list(zip(cuts, cuts[1:], strict=False))
-                columns = [
-                    pa.array(place[cuts[:-1]]), pa.array([lang] * len(sides), pa.string()),
-                    pa.array([np.ascontiguousarray(five[:, a:b]).tobytes() for a, b in sides], pa.binary()), pa.array([n[a:b].tobytes() for a, b in sides], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["place", "lang", "five", "n"])
+                data = np.concatenate([place[None], five, n[None]])[:, np.argsort(place, kind="stable")]
+                at = data[0] // region
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])
+                sides = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+                columns = [pa.array(at[cuts[:-1]]), pa.array([lang] * len(sides), pa.string()), pa.array([np.ascontiguousarray(data[:, a:b]).tobytes() for a, b in sides], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["region", "lang", "data"])
 
-    return docs.select("text", "lang").mapInArrow(each, "place bigint, lang string, five binary, n binary")
+    return docs.select("text", "lang").mapInArrow(each, "region bigint, lang string, data binary")
 
 
 def mine(five: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,23 +252,28 @@ def local_counts(fragments_: DataFrame, order: Order, least: int) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             if not parts:
                 return
-            grams, n = mine(np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[1] for p in parts]))
-            pivot = grams.max(0)
-            dealt = (pivot < whole_from) | (split_others & (pivot >= n_table))
-            some = np.flatnonzero(dealt | (n >= least))
-            columns = [pa.array([key[1]] * len(some), pa.string()), *(pa.array(g[some]) for g in grams), pa.array(n[some])]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "w1", "w2", "w3", "n"])
+            data = np.concatenate(parts, axis=1)
+            parts.clear()
+            data = data[:, np.argsort(data[0], kind="stable")]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(data[0])) + 1, [data.shape[1]]]).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                grams, n = mine(data[1:6, a:b], data[6, a:b])
+                pivot = grams.max(0, initial=-1)
+                dealt = (pivot < whole_from) | (split_others & (pivot >= n_table))
+                some = np.flatnonzero(dealt | (n >= least))
+                columns = [pa.array([key[1]] * len(some), pa.string()), *(pa.array(g[some]) for g in grams), pa.array(n[some])]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "w1", "w2", "w3", "n"])
 
         for batch in batches:
-            five, n = batch.column("five"), batch.column("n")
-            for i, now in enumerate(zip(batch.column("place").to_pylist(), batch.column("lang").to_pylist(), strict=True)):
+            data = batch.column("data")
+            for i, now in enumerate(zip(batch.column("region").to_pylist(), batch.column("lang").to_pylist(), strict=True)):
                 if now != key:
                     yield from out()
-                    key, parts = now, []
-                parts.append((np.frombuffer(five[i].as_buffer(), np.int64).reshape(5, -1), np.frombuffer(n[i].as_buffer(), np.int64)))
+                    key = now
+                parts.append(np.frombuffer(data[i].as_buffer(), np.int64).reshape(7, -1))
         yield from out()
 
-    ordered = fragments_.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "place").sortWithinPartitions("place", "lang")
+    ordered = fragments_.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "region").sortWithinPartitions("region", "lang")
     return ordered.mapInArrow(each, "lang string, w1 bigint, w2 bigint, w3 bigint, n bigint")
 
 
