@@ -1,11 +1,12 @@
 """Line dedup over levelled sorted runs of line hashes (DataFrame functions only).
 
-``LineRuns`` is a small log-structured index. A run is a Parquet folder of
+``LineRuns`` is a small log-structured index. A run is a folder of
 (a, b, n): the 128-bit hash of a line key and the number of documents that hold
-it, sorted by hash. Adding a batch counts its keys, anti-joins the keys that the
-runs already know to be frequent, and writes the rest as a new run of level 0.
-When a level holds ``fanout`` runs they are merged into one run of the next level,
-so a key is rewritten once per level, log(batches) times in all. A run's name is
+it, in hash buckets and sorted by hash within each. Adding a batch counts its keys, merge-anti-joins each run's keys
+that are known to be frequent, and writes the rest as a new run of level 0. Two runs of a level are merged into one
+of the next by a full merge join, so a key is rewritten once per level, log(batches) times in all. As all runs
+have the same buckets and order, neither join shuffles or sorts a run; only the batch is dealt out and what is written is sorted.
+Batches follow from the bytes of text, BATCH_BYTES in each and BATCHES at least. A run's name is
 the range of batches it covers and it counts only once its _SUCCESS file exists;
 a run covered by a wider one is ignored, so a crash between "write merged run"
 and "delete inputs" is harmless.
@@ -20,14 +21,17 @@ the new ones, which are replaced.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from semlake.llm.common import WHITE, ascii_lower, broadcast_within, digest128, materialise, others, remove, scratch, sha256_hex, unused
+from semlake.sources import buckets
 
-MIN_DOCS, MIN_CHARS, BATCHES, FANOUT = 10, 1, 4, 4
+MIN_DOCS, MIN_CHARS = 10, 1
+#: Batches at least and at most (each is a folder of counted keys), and bytes of text in one.
+BATCHES, MOST_BATCHES, BATCH_BYTES = 4, 64, 128 << 20
+RUN = StructType().add("a", LongType()).add("b", LongType()).add("n", LongType())
 
 
 def lines_of(text: Column) -> Column:
@@ -52,8 +56,9 @@ def key_counts(docs: DataFrame, *by: Column) -> DataFrame:
 
 
 class LineRuns:
-    def __init__(self, spark: SparkSession, path: str, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
-        self.spark, self.path, self.min_docs, self.fanout = spark, path, min_docs, fanout
+    def __init__(self, spark: SparkSession, path: str, min_docs: int = MIN_DOCS, buckets_: int | None = None):
+        self.spark, self.path, self.min_docs = spark, path, min_docs
+        self.buckets = buckets_ or buckets.bucket_count(spark)
 
     def runs(self) -> list[tuple[int, int, int, str]]:
         """(level, first batch, last batch, folder) of the complete runs that no other run covers."""
@@ -67,48 +72,71 @@ class LineRuns:
                 found.append((*map(int, name.split("-")), f"{self.path}/{name}"))
         return sorted(r for r in found if not any(o is not r and o[0] > r[0] and o[1] <= r[1] and r[2] <= o[2] for o in found))
 
-    def _read(self, runs) -> DataFrame:
-        return reduce(DataFrame.unionByName, (self.spark.read.schema("a bigint, b bigint, n bigint").parquet(r[3]) for r in runs))
+    def read(self, run: tuple) -> DataFrame:
+        return buckets.read(self.spark, run[3], RUN, ["a", "b"], self.buckets)
 
-    def merged(self, runs=None) -> DataFrame:
-        """Counts over the given runs, by default over all."""
-        runs = self.runs() if runs is None else runs
-        if not runs:
-            return self.spark.createDataFrame([], "a bigint, b bigint, n bigint")
-        return self._read(runs).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    def known(self, run: tuple) -> DataFrame:
+        """The keys that a run alone shows to be frequent."""
+        return self.read(run).where(F.col("n") >= self.min_docs).select("a", "b")
 
-    def frequent(self) -> DataFrame:
-        return self.merged().where(F.col("n") >= self.min_docs).select("a", "b")
+    def _write(self, counts: DataFrame, level: int, first: int, last: int, aligned: bool = False) -> None:
+        buckets.write(counts.select("a", "b", "n"), f"{self.path}/{level}-{first}-{last}", ["a", "b"], self.buckets, aligned)
 
-    def _write(self, counts: DataFrame, level: int, first: int, last: int) -> None:
-        (counts.select("a", "b", "n").repartitionByRange("a").sortWithinPartitions("a", "b")
-         .write.mode("overwrite").parquet(f"{self.path}/{level}-{first}-{last}"))
+    def without_known(self, counts: DataFrame) -> DataFrame:
+        """Merge-anti-join of a batch with the runs."""
+        for run in self.runs():
+            counts = counts.join(self.known(run).hint("merge"), ["a", "b"], "left_anti")
+        return counts
+
+    def merged(self, one: tuple, two: tuple) -> DataFrame:
+        """Two runs by a full merge join."""
+        both = self.read(one).withColumnRenamed("n", "m").join(self.read(two).hint("merge"), ["a", "b"], "full")
+        return both.select("a", "b", (F.coalesce("m", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n"))
 
     def add(self, counts: DataFrame) -> None:
         """Add the key counts of one batch of documents."""
-        runs = self.runs()
-        batch = max((r[2] for r in runs), default=-1) + 1
-        if runs:
-            counts = counts.join(self.frequent(), ["a", "b"], "left_anti")
-        self._write(counts, 0, batch, batch)
-        self._compact()
-
-    def _compact(self) -> None:
+        batch = max((r[2] for r in self.runs()), default=-1) + 1
+        self._write(self.without_known(counts), 0, batch, batch)
         level = 0
-        while len(due := [r for r in self.runs() if r[0] == level]) >= self.fanout:
-            self._write(self.merged(due), level + 1, due[0][1], due[-1][2])
-            for r in due:
-                remove(self.spark, r[3])
+        while len(due := [r for r in self.runs() if r[0] == level]) >= 2:
+            self._merge(*due[:2], level + 1)
             level += 1
 
+    def _merge(self, one: tuple, two: tuple, level: int) -> None:
+        self._write(self.merged(one, two), level, min(one[1], two[1]), max(one[2], two[2]), aligned=True)
+        for run in (one, two):
+            buckets.forget(self.spark, run[3])
+            remove(self.spark, run[3])
+
+    def drop(self) -> None:
+        """Forget and delete the runs."""
+        for run in self.runs():
+            buckets.forget(self.spark, run[3])
+        remove(self.spark, self.path)
+
+    def frequent(self) -> DataFrame:
+        """The frequent keys of all batches; what is left of the levels is merged into one run first, the newest first."""
+        while len(runs := self.runs()) > 1:
+            by_age = sorted(runs, key=lambda r: -r[1])
+            self._merge(by_age[1], by_age[0], max(by_age[0][0], by_age[1][0]) + 1)
+        if not runs:
+            return self.spark.createDataFrame([], "a bigint, b bigint")
+        return self.known(runs[0])
+
+
+def batches_of(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(BATCHES, min(MOST_BATCHES, -(-size // BATCH_BYTES)))
+
 
-def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, path: str | None = None) -> DataFrame:
+def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int | None = None, path: str | None = None) -> DataFrame:
     """Hashes (a, b) of the line keys found in at least ``min_docs`` documents.
 
     The documents are counted in one scan, dealt into batches by a hash of their
     text; the batches then enter the runs one after another."""
     spark = docs.sparkSession
     path = path or scratch(spark)
+    batches = batches or batches_of(docs)
     batch = F.pmod(F.xxhash64("text"), F.lit(batches)).cast("int").alias("batch")
     key_counts(docs, batch).write.partitionBy("batch").parquet(f"{path}/counted")
     counted = spark.read.schema("a bigint, b bigint, n bigint, batch int").parquet(f"{path}/counted")
@@ -118,12 +146,12 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BAT
     return index.frequent()
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int | None = None) -> DataFrame:
     """The documents with the columns ll_lines (lines before), ll_dropped and ll_text (the rest)."""
     path = scratch(docs.sparkSession)
     frequent = materialise(frequent_lines(docs, min_docs, batches, path), f"{path}/frequent")
-    for part in ("counted", "runs"):
-        remove(docs.sparkSession, f"{path}/{part}")
+    remove(docs.sparkSession, f"{path}/counted")
+    LineRuns(docs.sparkSession, f"{path}/runs").drop()
     rows = frequent.count()
     # One row per distinct text that loses lines, with their positions: copies meet here once.
     spot = docs.select(digest128(F.coalesce("text", F.lit(""))).alias("t"), F.posexplode(F.transform(line_keys(F.col("text")), _hash)).alias("pos", "h"))
