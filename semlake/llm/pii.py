@@ -7,8 +7,8 @@ dropped, without another try inside it. Their score is at least THRESHOLD, so al
 Added kinds: iban (as long as its country says, mod 97; tried at each possible start), card13 (13 digits that pass Luhn), ssn (ddd-dd-dddd) and local_phone
 (a number without a plus) and secret. Each starts from the score in ADDED, gains CONTEXT_GAIN if one of its context
 words stands within CONTEXT_CHARS code points before it or half as many after it, and is reported from THRESHOLD on.
-A secret is a run of SECRET_CHARS letters, digits and the signs of base64 that holds letters and digits and at least SECRET_BITS bits of
-entropy a character; only its context tells it from other codes. An added span that overlaps a base span, or one of an added kind that is listed before its own, is left out.
+A secret is a run of SECRET_CHARS or more letters, digits and the signs of base64, or several joined by single dots as in signed tokens, that holds
+letters and digits and at least SECRET_BITS bits of entropy a character; only its context tells it from other codes. An added span that overlaps a base span, or one of an added kind that is listed before its own, is left out.
 
 The patterns are anchored so that each scans a text once, also texts of one long run of digits
 or letters. Positions are code points, the end exclusive.
@@ -36,8 +36,8 @@ ORDER = {k: i for i, k in enumerate((*BASE, "iban", "card13", "ssn", "local_phon
 THRESHOLD, CONTEXT_GAIN, CONTEXT_CHARS = 0.5, 0.35, 60
 #: Kind -> score of a confirmed proposal without context.
 ADDED = {"iban": 0.9, "card13": 0.3, "ssn": 0.3, "local_phone": 0.2, "secret": 0.3}
-#: Least and most characters of a secret, and its least entropy in bits a character.
-SECRET_CHARS, SECRET_BITS = (16, 256), 3.0
+#: Least characters of a secret (of each part between dots), and its least entropy in bits a character.
+SECRET_CHARS, SECRET_BITS = 16, 3.0
 BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7}
 CONTEXT = {
     "email": "mail email contact write correo courriel",
@@ -65,7 +65,7 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
 _IBAN_REST = {k: re.compile(rf"(?: ?[A-Z0-9]){{{int(n) - 4}}}(?![A-Za-z0-9])") for k, n in IBAN_LENGTH.items()}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+().-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+")
+_SECRET = re.compile(rf"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{{{SECRET_CHARS},}}+(?:\.[A-Za-z0-9_+/-]{{{SECRET_CHARS},}}+)*+")
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"[0-9]")
 _DOUBLED = [sum(divmod(2 * d, 10)) for d in range(10)]
@@ -125,7 +125,7 @@ def in_context(text: str, start: int, end: int, kind: str) -> bool:
 
 
 def is_secret(run: str) -> bool:
-    if not SECRET_CHARS[0] <= len(run) <= SECRET_CHARS[1] or run.isalpha() or not any(map(str.isalpha, run)) or not any(map(str.isdigit, run)):
+    if run.isalpha() or not any(map(str.isalpha, run)) or not any(map(str.isdigit, run)):
         return False
     return -sum(n / len(run) * math.log2(n / len(run)) for n in Counter(run).values()) >= SECRET_BITS
 

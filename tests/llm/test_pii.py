@@ -77,6 +77,17 @@ def test_secrets_by_entropy_and_context():
         assert [s[2] for s in pii.scored_spans(text, pii.base_spans(text))] == want, text
 
 
+def test_secrets_of_any_length():
+    rnd = random.Random(5)
+    code = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-") for _ in range(n))
+    for secret in (code(264), code(70_000), f"{code(36)}.{code(310)}.{code(43)}"):
+        text = f"the api key = {secret}, keep it"
+        assert [s[:3] for s in pii.scored_spans(text, pii.base_spans(text))] == [(14, 14 + len(secret), "secret")]
+    head = code(40)
+    text = f"token {head}. The end"
+    assert [s[:3] for s in pii.scored_spans(text, pii.base_spans(text))] == [(6, 46, "secret")]
+
+
 def brute_added(text):
     """All proposals of the added kinds, the plain way: each against every span that stands already."""
     base = pii.base_spans(text)
