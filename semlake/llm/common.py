@@ -175,12 +175,18 @@ class WordIds:
 
 
 class IntTable:
-    """A fixed table from integers below 2**42 to integers below 2**20, looked up for whole arrays: open addressing, key and
-    value in one place."""
+    """A fixed table from integers to integers, looked up for whole arrays: open addressing, key and value in one place. Keys outside
+    0..2**43 - 1 or values outside 0..2**20 - 1 don't fit there; such tables are two sorted arrays and a binary search."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray, missing: int):
+        self.missing = missing
+        self.sorted = bool(len(keys)) and not (keys.min() >= 0 and keys.max() < 1 << 43 and values.min() >= 0 and values.max() < 1 << 20)
+        if self.sorted:
+            self.keys, first = np.unique(keys, return_index=True)
+            self.values = values[first]
+            return
         bits = max(4, (3 * len(keys)).bit_length())
-        self.shift, self.mask, self.missing = np.uint64(64 - bits), (1 << bits) - 1, missing
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.place = np.full(1 << bits, -1, np.int64)
         slot = self._slot(keys)
         while len(keys):
@@ -197,6 +203,9 @@ class IntTable:
         return x.view(np.int64)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
+        if self.sorted:
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            return np.where(self.keys[at] == keys, self.values[at], self.missing)
         slot = self._slot(keys)
         held = self.place[slot]
         out = np.where(held < 0, self.missing, held & 0xFFFFF)

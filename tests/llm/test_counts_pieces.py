@@ -3,9 +3,11 @@ import random
 from itertools import pairwise
 
 import numpy as np
+import pytest
 import sentencepiece
 
 from semlake.llm import common, counts, pieces
+from semlake.llm.common import IntTable
 from tests.llm import helpers
 
 
@@ -99,3 +101,26 @@ def test_pieces_query_on_edge_cases(spark, tmp_path):
     assert pieces.encode_documents(helpers.empty(spark)).collect() == []
     out = pieces.encode_documents(helpers.table(spark, ["the thing"])).first()
     assert out.sp_decoded == "the thing" and out.sp_ids[-1] == 2 and out.pos == 1
+
+
+@pytest.mark.parametrize("case", ["small", "large values", "large keys", "negative keys", "one value too large", "empty"])
+def test_tables_of_integers_hold_what_was_put_in(case):
+    rnd = np.random.default_rng(3)
+    keys = np.unique(rnd.integers(0, 1 << 40, 3000))
+    values = rnd.integers(0, 1 << 20, len(keys))
+    if case == "large values":
+        values += 1 << 33
+    elif case == "one value too large":
+        values[7] = 1 << 20
+    elif case == "large keys":
+        keys[-5:] = (1 << 44) + np.arange(5)
+    elif case == "negative keys":
+        keys -= 1 << 39
+    elif case == "empty":
+        keys, values = keys[:0], values[:0]
+    t = IntTable(keys, values, -1)
+    assert (t.get(keys) == values).all()
+    asked = np.unique(np.concatenate([keys, keys + 1, np.arange(50)]))
+    held = dict(zip(keys.tolist(), values.tolist(), strict=True))
+    assert t.get(asked).tolist() == [held.get(k, -1) for k in asked.tolist()]
+    assert t.get(asked[:0]).tolist() == []
