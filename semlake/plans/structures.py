@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semlake.functions import codec, terms
-from semlake.operators import digests, patterns
+from semlake.operators import description, digests, enumeration, patterns
 from semlake.operators.common import checkpoint_path
 from semlake.plans.vectors import table
 from semlake.sources.store import Store
@@ -124,6 +124,29 @@ def stored_ledger(spark, sf_dir):
     return store.read("ledger").select("key", "input_tokens", (F.col("cost_usd") * 4).cast("bigint").alias("events"), "finished", "model")
 
 
+def members_of_modules(spark, sf_dir):
+    """Parts as members of 12 modules (by supplier), each built on those with half and a third of its number: the members that are new in theirs."""
+    members = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 12).alias("module"), F.col("l_partkey").alias("key")).distinct()
+    m = spark.range(1, 12).select(F.col("id").alias("module"), F.explode(F.array(F.floor(F.col("id") / 2), F.floor(F.col("id") / 3))).alias("parent"))
+    return enumeration.new_members(members, m)
+
+
+def described_entries(spark, sf_dir):
+    """Documents are described in rounds, a quarter of them in each; answers are also blank, repeated or under labels that nobody has."""
+
+    def answerer(left, round_):
+        some = left.where((F.col("doc_id") + round_) % 4 == 0)
+        right = F.concat(F.col("label"), F.lit(":"), F.col("n_chars"))
+        wrong = [(some, F.lit("first try"), 0), (some, F.lit("  "), 9), (left.withColumn("label", F.concat(F.lit("x"), "label")), right, 1)]
+        rows = [df.select("label", a.alias("answer"), F.lit(seq).alias("seq")) for df, a, seq in [*wrong, (some, right, 5)]]
+        return reduce(DataFrame.union, rows)
+
+    docs = table(spark, sf_dir, "documents")
+    entries = docs.select(F.unhex(F.md5(F.col("doc_id").cast("string"))).alias("key"), _named("n", F.col("doc_id")).alias("label"), "doc_id", "n_chars")
+    out = description.describe(Store(spark, checkpoint_path(spark)), entries, answerer)
+    return out.select(F.lower(F.hex("key")).alias("key"), "answer")
+
+
 _KIND = "[1, 2, 8][CAST(doc_id % 3 + 1 AS INTEGER)]"
 _STORED = f"""WITH d AS (SELECT *, {_KIND} AS kind, {_KIND} = 8 AND doc_id % 11 = 0 AS legacy, doc_id % 13 = 0 AS old,
   CASE WHEN doc_id % 17 = 0 THEN 'cut short' WHEN doc_id % 19 = 0 THEN 'bytes after the tuple' END AS reason FROM documents)
@@ -146,6 +169,12 @@ UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, reason FROM d
     "unreadable_values": _STORED + "SELECT reason, count(*) AS n FROM d WHERE reason IS NOT NULL GROUP BY 1",
     "stored_orders": """SELECT o_orderkey AS key, CAST(trunc(o_totalprice * 100) AS BIGINT) + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS cents FROM orders WHERE o_orderkey % 10 <> 0
 UNION ALL SELECT -o_orderkey, CAST(trunc(o_totalprice * 100) AS BIGINT) FROM orders WHERE o_orderkey % 100 = 1""",
+    "members_of_modules": """WITH RECURSIVE up AS (SELECT m, m // 2 AS a FROM range(1, 12) t(m) UNION SELECT m, m // 3 FROM range(1, 12) t(m)),
+anc AS (SELECT m, a FROM up UNION SELECT anc.m, up.a FROM anc JOIN up ON up.m = anc.a),
+mem AS (SELECT DISTINCT l_suppkey % 12 AS module, l_partkey AS key FROM lineitem),
+old AS (SELECT DISTINCT anc.m AS module, o.key FROM anc JOIN mem o ON o.module = anc.a)
+SELECT module, key FROM mem EXCEPT SELECT module, key FROM old""",
+    "described_entries": "SELECT md5(CAST(doc_id AS VARCHAR)) AS key, 'n' || doc_id || ':' || n_chars AS answer FROM documents",
     "stored_ledger": """SELECT user_id AS key, CAST(sum(event_id % 100) AS BIGINT) AS input_tokens, count(*) AS events, bool_or(event_type = 'purchase') AS finished, arg_max(event_type, (ts, event_id)) AS model
 FROM events GROUP BY user_id""",
 }
