@@ -31,8 +31,14 @@ def dequantize(q: Column, dimension: int | None = None) -> Column:
     return F.when(F.size(q) == dimension, out).otherwise(F.raise_error(F.concat(F.lit(f"vector length is not {dimension}: "), F.size(q).cast("string"))))
 
 
-def dot(a: Column, b: Column | Sequence[int]) -> Column:
-    """Sum of (a * b + 16384) >> 15 over the components, as bigint. b: a column, or a query vector of ints."""
+def dot(a: Column | str, b: Column | Sequence[int]) -> Column:
+    """Sum of (a * b + 16384) >> 15 over the components, as bigint. b: a column, or a query vector of ints. With a column's name and a
+    query vector the sum is written as one SQL text, which is parsed at once."""
+    if isinstance(a, str):
+        if not isinstance(b, Column) and 0 < len(b) <= UNROLL:
+            terms = " + ".join(f"shiftright(cast(get(`{a}`, {i}) as int) * {int(y)} + 16384, 15)" for i, y in enumerate(b))
+            return F.expr(f"cast({terms} as bigint)")
+        a = F.col(a)
     if isinstance(b, Column):
         terms = F.zip_with(a, b, lambda x, y: F.shiftright(x.cast("int") * y.cast("int") + 16384, 15))
         return F.aggregate(terms, F.lit(0), lambda s, x: s + x).cast("bigint")

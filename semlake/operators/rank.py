@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from semlake.operators.common import checkpoint_path, cut, small
 
 DECAY = 0.62
+#: Rows of a group that one task sorts and sums.
+GROUP_ROWS = 500_000
 
 
 def keep_first(df: DataFrame, key: str | list[str], *order) -> DataFrame:
@@ -35,9 +37,12 @@ def newest(df: DataFrame, name: str, value: str, ts: str, where: Column) -> Data
 
 
 def _running(df: DataFrame, value: Column, by: list[str], order: tuple, out: str) -> DataFrame:
-    """The running sum of value within each group, in order. A group may hold most of the rows: rows are dealt into ranges of
+    """The running sum of value within each group, in order. Where a group has more than GROUP_ROWS rows, rows are dealt into ranges of
     (group, order), each range sums its own part of a group, and the sums of the parts before it are added."""
     spark = df.sparkSession
+    largest = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= GROUP_ROWS:
+        return df.withColumn(out, F.sum(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid = df.withColumn("_value", value).repartitionByRange(ranges, *by, *order).withColumn("_part", F.spark_partition_id())
     laid = cut(laid, checkpoint_path(spark))  # written, so that rows keep their ranges

@@ -43,7 +43,7 @@ def gather(candidates: DataFrame, vectors: DataFrame, key: str, vector: str, dim
 
 def scored(vectors: DataFrame, query: Sequence[int], vector: str = "q") -> DataFrame:
     """raw (bigint) and score (cosine) against a literal query vector; compiled, without a shuffle."""
-    return vectors.withColumn("raw", q15.dot(F.col(vector), list(query))).withColumn("score", q15.recover_cos(F.col("raw")))
+    return vectors.withColumn("raw", q15.dot(vector, list(query))).withColumn("score", q15.recover_cos(F.col("raw")))
 
 
 def top_k(vectors: DataFrame, query: Sequence[int], k: int, key: str, vector: str = "q") -> DataFrame:

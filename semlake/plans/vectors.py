@@ -23,8 +23,8 @@ def store(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return held.select("vec_id", *more, "q")
 
 
-def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[int]:
-    rows = store(spark, sf_dir).where(F.col("vec_id") == vec_id).orderBy("vec_id").limit(1).collect()
+def query_vector(held: DataFrame, vec_id: int = 0) -> list[int]:
+    rows = held.where(F.col("vec_id") == vec_id).select("q").limit(1).collect()
     return list(rows[0]["q"]) if rows else [0] * DIMENSION
 
 
@@ -33,16 +33,19 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def knn_topk(spark, sf_dir):
-    return _rounded(topk.top_k(store(spark, sf_dir), query_vector(spark, sf_dir), K, "vec_id"), "vec_id")
+    held = store(spark, sf_dir)
+    return _rounded(topk.top_k(held, query_vector(held), K, "vec_id"), "vec_id")
 
 
 def knn_topk_by_kind(spark, sf_dir):
-    df = topk.of_kinds(store(spark, sf_dir, "label"), [1, 2, 3], "label")
-    return _rounded(topk.top_k(df, query_vector(spark, sf_dir), K, "vec_id"), "vec_id", "label")
+    held = store(spark, sf_dir, "label")
+    df = topk.of_kinds(held, [1, 2, 3], "label")
+    return _rounded(topk.top_k(df, query_vector(held), K, "vec_id"), "vec_id", "label")
 
 
 def knn_topk_per_kind(spark, sf_dir):
-    df = topk.scored(store(spark, sf_dir, "label"), query_vector(spark, sf_dir))
+    held = store(spark, sf_dir, "label")
+    df = topk.scored(held, query_vector(held))
     out = topk.top_k_per(df, "label", 3, "vec_id")
     return out.select("label", "vec_id", "raw", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
@@ -51,8 +54,9 @@ def knn_restricted(spark, sf_dir):
     """A restricted domain with repeated keys (labels), each scanned once."""
     wanted = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"))
     wanted = wanted.union(wanted)
-    got = topk.gather(wanted, store(spark, sf_dir), "vec_id", "q", DIMENSION).where("state = 'keep'")
-    return _rounded(topk.top_k(got, query_vector(spark, sf_dir), K, "vec_id"), "vec_id")
+    held = store(spark, sf_dir)
+    got = topk.gather(wanted, held, "vec_id", "q", DIMENSION).where("state = 'keep'")
+    return _rounded(topk.top_k(got, query_vector(held), K, "vec_id"), "vec_id")
 
 
 def gather_split(spark, sf_dir):
@@ -64,8 +68,9 @@ def gather_split(spark, sf_dir):
 def knn_default_tier(spark, sf_dir):
     """Candidates are the labelled documents; those without a vector get the score of their locality."""
     wanted = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"), (F.col("quality") == 1).alias("is_local"), F.col("doc_id").alias("ord")).dropDuplicates(["vec_id"])
-    got = topk.gather(wanted, store(spark, sf_dir), "vec_id", "q", DIMENSION)
-    top = topk.top_k(got.where("state = 'keep'"), query_vector(spark, sf_dir), K, "vec_id").select("vec_id", "is_local", "ord", "score")
+    held = store(spark, sf_dir)
+    got = topk.gather(wanted, held, "vec_id", "q", DIMENSION)
+    top = topk.top_k(got.where("state = 'keep'"), query_vector(held), K, "vec_id").select("vec_id", "is_local", "ord", "score")
     rest = topk.default_tier(got.select("vec_id", "is_local", "ord"), top, K, "vec_id", 0.3, 0.5)
     out = topk.final_cut(top, rest, K, "vec_id")
     return out.select("vec_id", F.round("score", 6).alias("score"), F.col("tier").cast("int").alias("tier"))
@@ -73,7 +78,8 @@ def knn_default_tier(spark, sf_dir):
 
 def knn_boosted(spark, sf_dir):
     """Hits are known for even keys, as a share that depends on the label."""
-    df = topk.scored(store(spark, sf_dir, "label"), query_vector(spark, sf_dir))
+    held = store(spark, sf_dir, "label")
+    df = topk.scored(held, query_vector(held))
     hits = table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0").select("vec_id", (F.col("label") / 10).alias("hit"))
     out = df.join(hits, "vec_id", "left").withColumn("boosted", topk.boosted(F.col("score"), F.col("hit"), 2))
     return out.orderBy(F.desc(F.round("boosted", 6)), "vec_id").limit(K).select("vec_id", "raw", F.round("boosted", 6).alias("score"))
@@ -88,7 +94,8 @@ def knn_batch(spark, sf_dir):
 
 
 def q15_encode(spark, sf_dir):
-    df = store(spark, sf_dir)
+    """From the raw table, so that the encoding itself is what is measured."""
+    df = table(spark, sf_dir, "embeddings").select("vec_id", q15.quantize(F.col("embedding")).alias("q"))
     total = F.aggregate("q", F.lit(0).cast("bigint"), lambda s, x: s + x)
     return df.select("vec_id", F.element_at("q", 1).cast("int").alias("first"), total.alias("total"), F.array_min("q").cast("int").alias("least"), F.array_max("q").cast("int").alias("most"))
 
@@ -100,7 +107,8 @@ def dequant_norm(spark, sf_dir):
 
 def plain_topk(spark, sf_dir):
     """The contiguous form: raw / 32768, as the fusion uses it."""
-    out = topk.top_k(store(spark, sf_dir), query_vector(spark, sf_dir), K, "vec_id")
+    held = store(spark, sf_dir)
+    out = topk.top_k(held, query_vector(held), K, "vec_id")
     return out.select("vec_id", F.round(q15.plain_score(F.col("raw")), 6).alias("score"))
 
 
@@ -123,7 +131,8 @@ def rank_fusion(spark, sf_dir):
     first = parts.orderBy(F.col("vec_id") % 97, "vec_id").limit(50)
     first = first.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.col("vec_id") % 97, "vec_id")) - 1)
     first = first.select("vec_id", rank.rank_weight(F.col("rank")).alias("score"))
-    second = topk.top_k(store(spark, sf_dir), query_vector(spark, sf_dir), 50, "vec_id").select("vec_id", q15.plain_score(F.col("raw")).alias("score"))
+    held = store(spark, sf_dir)
+    second = topk.top_k(held, query_vector(held), 50, "vec_id").select("vec_id", q15.plain_score(F.col("raw")).alias("score"))
     forced = spark.createDataFrame([(7,), (8,)], "vec_id bigint")
     out = rank.mesh([(0.5, first), (0.5, second)], "vec_id", 20, forced)
     return out.select("vec_id", F.round("score", 6).alias("score"), F.col("forced").cast("int").alias("forced"))

@@ -268,7 +268,9 @@ def test_batch_search_in_blocks_equals_single_searches(spark, monkeypatch):
     assert sorted(r.id for r in few) == list(range(50))
 
 
-def test_running_sums_over_a_hot_group(spark):
+@pytest.mark.parametrize("most", [10, 1000])
+def test_running_sums_over_a_hot_group(spark, monkeypatch, most):
+    monkeypatch.setattr(rank, "GROUP_ROWS", most)
     rows = [(None if i % 5 == 0 else "hot", i, i % 4) for i in range(300)]
     df = spark.createDataFrame(rows, "g string, i int, c int")
     got = {(r.g, r.i): r.batch for r in rank.batches(df, 7, "g", "i").collect()}
