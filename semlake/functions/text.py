@@ -210,12 +210,6 @@ def within_limit(text: Column, tokens: Column, limit: int, heading: str) -> Colu
     return F.when(tokens > limit + 3, F.raise_error(F.lit(f"more than {limit} tokens"))).otherwise(F.concat(F.lit(f"#{heading}\n"), text))
 
 
-def alpha_normal(tokens: Column, is_variable) -> Column:
-    """Tokens with variables renamed v1, v2, .. by first occurrence. is_variable: Column -> Column tells them."""
-    names = F.array_distinct(F.filter(tokens, is_variable))
-    return F.transform(tokens, lambda t: F.when(is_variable(t), F.concat(F.lit("v"), F.array_position(names, t).cast("string"))).otherwise(t))
-
-
 def entity_digest(kind: Column, *parts: Column) -> Column:
     """A digest of an entity's definition; a null part differs from an empty one."""
     marked = [F.coalesce(F.concat(F.lit("+"), p.cast("string")), F.lit("-")) for p in parts]
@@ -258,17 +252,20 @@ def shrink(df: DataFrame, column: str, pieces, limit: int, for_goal: bool = True
     # The whole text is counted along with its lines, in one call.
     df = df.withColumn("_counted", token_counts(pieces)(F.concat(F.array(column), F.col("_lines"))))
     total = F.element_at(held, 1)
-    state = lambda left, done, kept: F.struct(left.alias("left"), done.alias("done"), kept.alias("kept"))
-    start = state(total, F.lit(False), F.array().cast("array<string>"))
+    stays = lambda line: (line == "") | line.startswith("###")
+    # Lines are dropped up to some place: what is left, whether that is enough, the line at hand and the last one dropped.
+    state = lambda left, done, at, cut: F.struct(left.alias("left"), done.alias("done"), at.alias("at"), cut.alias("cut"))
+    start = state(total, F.lit(False), F.lit(0), F.lit(-1))
 
     def step(s: Column, x: Column) -> Column:
-        goes = ~s["done"] & (x["line"] != "") & ~x["line"].startswith("###")
+        goes = ~s["done"] & ~stays(x["line"])
         left = F.when(goes, s["left"] - x["n"]).otherwise(s["left"])
-        return state(left, s["done"] | (goes & (left <= limit)), F.when(goes, s["kept"]).otherwise(F.concat(s["kept"], F.array(x["line"]))))
+        return state(left, s["done"] | (goes & (left <= limit)), s["at"] + 1, F.when(goes, s["at"]).otherwise(s["cut"]))
 
     lines = F.arrays_zip(F.col("_lines").alias("line"), F.slice(held, F.lit(2), F.size("_lines")).alias("n"))
-    end = F.aggregate(lines, start, step)
-    shorter = F.when(end["done"], F.array_join(end["kept"], "\n")) if for_goal else F.lit(None).cast("string")
+    df = df.withColumn("_end", F.aggregate(lines, start, step))
+    kept = F.filter("_lines", lambda line, i: (i > F.col("_end.cut")) | stays(line))
+    shorter = F.when(F.col("_end.done"), F.array_join(kept, "\n")) if for_goal else F.lit(None).cast("string")
     df = df.withColumn(out, F.when(F.col(column).isNull() | (total <= limit), F.col(column)).otherwise(shorter))
     cut = first_tokens(pieces, limit)(F.when(F.col(out).isNull(), F.col(column)))
-    return df.withColumn(out, F.coalesce(out, cut)).drop("_lines", "_counted")
+    return df.withColumn(out, F.coalesce(out, cut)).drop("_lines", "_counted", "_end")

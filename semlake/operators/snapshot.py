@@ -44,8 +44,3 @@ def merge(local: DataFrame, remote: DataFrame, on: Sequence[str], finished: str
 
 def statistics(merged: DataFrame) -> DataFrame:
     return merged.agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("added", "overwritten", "kept_local")])
-
-
-def is_stale(base_etag: str | None, remote_etag: str | None) -> bool:
-    """A push is refused when the remote is not what was pulled."""
-    return remote_etag is not None and base_etag != remote_etag
