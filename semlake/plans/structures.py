@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semlake.functions import codec, terms
-from semlake.operators import description, digests, enumeration, patterns
+from semlake.operators import description, digests, enumeration, graph, patterns
 from semlake.operators.common import checkpoint_path
 from semlake.plans.vectors import table
 from semlake.sources.store import Store
@@ -147,10 +147,45 @@ def described_entries(spark, sf_dir):
     return out.select(F.lower(F.hex("key")).alias("key"), "answer")
 
 
+def _part_graph(spark, sf_dir):
+    """Parts below those with half and a third of their number; every fifth also below part 1, which most cones reach."""
+    p = F.col("p_partkey")
+    up = F.array(F.floor(p / 2), F.floor(p / 3), F.when(p % 5 == 0, F.lit(1).cast("bigint")))
+    e = table(spark, sf_dir, "part").select(F.explode(F.array_distinct(up)).alias("parent"), p.alias("child"))
+    return e.where("parent >= 1 and parent <> child")
+
+
+def _parts(spark, sf_dir, where):
+    return table(spark, sf_dir, "part").where(where).select(F.col("p_partkey").alias("node"))
+
+
+def part_cone(spark, sf_dir):
+    """Ancestors of every 40th part, walked through every 7th, which are left out."""
+    out = graph.cone(_part_graph(spark, sf_dir), _parts(spark, sf_dir, "p_partkey % 40 = 0"), _parts(spark, sf_dir, "p_partkey % 7 = 0"))
+    return out.select("node", F.col("depth").cast("bigint").alias("depth"))
+
+
+def part_contraction(spark, sf_dir):
+    """Edges between parts whose number is divisible by 3, through the others."""
+    return graph.contract(_part_graph(spark, sf_dir), _parts(spark, sf_dir, "p_partkey % 3 = 0"))
+
+
+def part_levels(spark, sf_dir):
+    return graph.levels(_part_graph(spark, sf_dir), _parts(spark, sf_dir, "true")).select("node", F.col("level").cast("bigint").alias("level"))
+
+
+def part_expansion(spark, sf_dir):
+    """Breadth first from every 50th part to the bound of 300."""
+    e = _part_graph(spark, sf_dir).withColumn("rank", F.lit(1))
+    return graph.expand(e, _parts(spark, sf_dir, "p_partkey % 50 = 0")).select("node", F.col("depth").cast("bigint").alias("depth"))
+
+
 _KIND = "[1, 2, 8][CAST(doc_id % 3 + 1 AS INTEGER)]"
 _STORED = f"""WITH d AS (SELECT *, {_KIND} AS kind, {_KIND} = 8 AND doc_id % 11 = 0 AS legacy, doc_id % 13 = 0 AS old,
   CASE WHEN doc_id % 17 = 0 THEN 'cut short' WHEN doc_id % 19 = 0 THEN 'bytes after the tuple' END AS reason FROM documents)
 """
+_PARTS = """WITH RECURSIVE e AS (SELECT DISTINCT a AS parent, p_partkey AS child FROM (SELECT p_partkey, unnest([p_partkey // 2, p_partkey // 3, CASE WHEN p_partkey % 5 = 0 THEN 1 END]) AS a FROM part) WHERE a >= 1 AND a <> p_partkey)"""
+_UP = "c AS (SELECT p_partkey AS node, 0 AS depth FROM part WHERE p_partkey % {0} = 0 UNION SELECT parent, depth + 1 FROM c JOIN e ON child = node)"
 _LINE = "FROM (SELECT l_orderkey || '-' || l_linenumber AS line, '%x' || (l_suppkey % 40) AS a, '%x' || (l_partkey % 40) AS b, 'k' || CAST(l_quantity % 5 AS INTEGER) AS k FROM lineitem)"
 
 ORACLES = {
@@ -175,6 +210,12 @@ mem AS (SELECT DISTINCT l_suppkey % 12 AS module, l_partkey AS key FROM lineitem
 old AS (SELECT DISTINCT anc.m AS module, o.key FROM anc JOIN mem o ON o.module = anc.a)
 SELECT module, key FROM mem EXCEPT SELECT module, key FROM old""",
     "described_entries": "SELECT md5(CAST(doc_id AS VARCHAR)) AS key, 'n' || doc_id || ':' || n_chars AS answer FROM documents",
+    "part_cone": f"{_PARTS}, {_UP.format(40)} SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM c WHERE node % 7 <> 0 GROUP BY node",
+    "part_contraction": f"""{_PARTS}, w AS (SELECT parent, child FROM e WHERE child % 3 = 0 UNION SELECT e.parent, w.child FROM w JOIN e ON e.child = w.parent WHERE w.parent % 3 <> 0)
+SELECT parent, child FROM w WHERE parent % 3 = 0""",
+    "part_levels": f"""{_PARTS}, l AS (SELECT p_partkey AS node, 0 AS level FROM part UNION SELECT child, level + 1 FROM l JOIN e ON parent = node)
+SELECT node, CAST(max(level) AS BIGINT) AS level FROM l GROUP BY node""",
+    "part_expansion": f"{_PARTS}, {_UP.format(50)} SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM c GROUP BY node ORDER BY depth, node LIMIT 300",
     "stored_ledger": """SELECT user_id AS key, CAST(sum(event_id % 100) AS BIGINT) AS input_tokens, count(*) AS events, bool_or(event_type = 'purchase') AS finished, arg_max(event_type, (ts, event_id)) AS model
 FROM events GROUP BY user_id""",
 }
