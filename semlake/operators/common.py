@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -25,18 +26,34 @@ def small(df: DataFrame, most: int | None = None) -> DataFrame:
     return F.broadcast(df) if is_small(df, most) else df
 
 
-def checkpoint_path(spark: SparkSession) -> str:
-    """A new folder name in spark.checkpoint.dir; a temporary folder only in local mode."""
+def checkpoint_base(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary folder only in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         base = tempfile.mkdtemp(prefix="semlake-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/semlake-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """Where this application keeps what its queries write on the way."""
+    return f"{checkpoint_base(spark)}/semlake-{spark.sparkContext.applicationId}"
+
+
+def checkpoint_path(spark: SparkSession) -> str:
+    """A new folder name below the application's scratch root."""
+    return f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application's queries have left in the shared folder. DataFrames that still read it can't be used any more, so
+    call it when the results are written."""
+    remove(spark, scratch_root(spark))
 
 
 def ship(spark: SparkSession) -> None:
